@@ -6,25 +6,42 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termgraph.llm import exact_dedup, quality_rules
+from termgraph.llm import exact_dedup, packing, quality_rules, sharding, simhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(_read(spark, sf_dir, "documents"))
+
+
+def op5_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_read(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.scored(docs, _read(spark, sf_dir, "labels")).drop("text")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op8_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return quality_rules.judged(docs).drop("text")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_exact_dedup, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op5_hilbert_sharding, op6_toxicity, op7_exact_dedup, op8_curve_packing, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact_dedup.SQL, "op9_quality_rules": quality_rules.SQL}
+    return {"op5_hilbert_sharding": sharding.SQL, "op7_exact_dedup": exact_dedup.SQL, "op9_quality_rules": quality_rules.SQL}
