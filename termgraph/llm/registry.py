@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termgraph.llm import exact_dedup, packing, quality_rules, sharding, simhash, toxicity
+from termgraph.llm import bpe, chat, exact_dedup, packing, quality_rules, sharding, simhash, toxicity
+
+VOCABULARY = os.environ.get("TERMGRAPH_BPE_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,6 +20,15 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_read(spark, sf_dir, "documents"))
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and byte offsets of every token of every document, and whether decoding gives the text back."""
+    return bpe.encode(_read(spark, sf_dir, "documents"), VOCABULARY, keep=["doc_id"], check=True)
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.segments(_read(spark, sf_dir, "conversations"))
+
+
 def op5_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_read(spark, sf_dir, "documents"))
 
@@ -39,9 +51,21 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(docs).drop("text")
 
 
+QUERIES = (
+    op1_simhash_near_dedup,
+    op2_byte_bpe,
+    op4_chat_format,
+    op5_hilbert_sharding,
+    op6_toxicity,
+    op7_exact_dedup,
+    op8_curve_packing,
+    op9_quality_rules,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op5_hilbert_sharding, op6_toxicity, op7_exact_dedup, op8_curve_packing, op9_quality_rules)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_hilbert_sharding": sharding.SQL, "op7_exact_dedup": exact_dedup.SQL, "op9_quality_rules": quality_rules.SQL}
+    return {"op4_chat_format": chat.SQL, "op5_hilbert_sharding": sharding.SQL, "op7_exact_dedup": exact_dedup.SQL, "op9_quality_rules": quality_rules.SQL}
