@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termgraph.llm import bpe, chat, exact_dedup, packing, quality_rules, sharding, simhash, toxicity
+from termgraph.llm import bpe, chat, exact_dedup, html_template, packing, quality_rules, sharding, simhash, toxicity
 
 VOCABULARY = os.environ.get("TERMGRAPH_BPE_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
@@ -51,6 +51,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(docs).drop("text")
 
 
+def op10_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.extract(_read(spark, sf_dir, "pages"))
+
+
 QUERIES = (
     op1_simhash_near_dedup,
     op2_byte_bpe,
@@ -60,6 +64,7 @@ QUERIES = (
     op7_exact_dedup,
     op8_curve_packing,
     op9_quality_rules,
+    op10_html_template,
 )
 
 
