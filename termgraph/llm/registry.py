@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termgraph.llm import bpe, chat, exact_dedup, html_template, packing, quality_rules, sharding, simhash, toxicity
+from termgraph.llm import bpe, chat, exact_dedup, html_template, mixing, packing, quality_rules, sharding, simhash, toxicity
 
 VOCABULARY = os.environ.get("TERMGRAPH_BPE_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
@@ -25,6 +25,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_read(spark, sf_dir, "documents"), VOCABULARY, keep=["doc_id"], check=True)
 
 
+def op3_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.score(_read(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.segments(_read(spark, sf_dir, "conversations"))
 
@@ -58,6 +62,7 @@ def op10_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = (
     op1_simhash_near_dedup,
     op2_byte_bpe,
+    op3_context_mixing,
     op4_chat_format,
     op5_hilbert_sharding,
     op6_toxicity,
