@@ -80,8 +80,8 @@ def evidence_ok(candidates: DataFrame, chunks: DataFrame, mode: str = "adj", tex
     label = F.concat(F.lit("(?<![가-힣])"), _quoted(F.col("label")), F.lit("(?=[가과나는도든랑로를서에와은을의이]|[^가-힣]|$)"))
     cue = _quoted(F.col("cue"))
     gap = F.lit(f".{{0,{WINDOW}}}")
-    near = F.col(text).rlike(F.concat(cue, gap, label, F.lit("|"), label, gap, cue))
-    same = F.col(text).rlike(label) & F.col(text).rlike(F.concat(F.lit("(?<![가-힣])"), cue))
+    near = F.rlike(text, F.concat(cue, gap, label, F.lit("|"), label, gap, cue))
+    same = F.rlike(text, label) & F.rlike(text, F.concat(F.lit("(?<![가-힣])"), cue))
     test = F.when(F.col("long"), same).otherwise(same if mode == "doc" else near)
     free = asked.where("long" if mode != "adjdoc" else "false").select("label", "concept")
     rest = asked.where("NOT long" if mode != "adjdoc" else "true")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+EXPECTED: dict[str, str] = {}  #: literal rows of case tables, for the tests: these operators aren't SQL
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -21,6 +22,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def case(expected: str) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__], EXPECTED[f.__name__] = f, expected
+        return f
+
+    return add
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
