@@ -1,10 +1,13 @@
 """Language-model scoring by online logistic context mixing, in bits per byte.
 
+Halves.  The texts are parted in two by a hash of the text; a document is scored with the counts of the half that it isn't in, so that it
+isn't known from itself nor from its exact copies.
+
 Predictors.  For each order k in ``ORDERS`` the k bytes before a byte, hashed to 2**b slots, select a binary tree of
-255 nodes; a node predicts the next bit of the byte as the log-odds of that bit in the whole corpus.  The counts
+255 nodes; a node predicts the next bit of the byte as the log-odds of that bit in the half.  The counts
 are gathered over every document: each task counts (slot, byte) pairs, sends those that occur, and they are merged
 apart by pieces of the table; a piece's byte counts add up to its nodes' counts.  So what moves follows the input, and the
-table that scoring holds has a fixed size (7 MB).
+table that scoring holds has a fixed size (14 MB).
 
 Mixing.  The log-odds x_k of the predictors are combined as s = sum_k w[g, bit, k] x_k + d[bit, round(2 s')], where the gate g is
 the class of the byte before (letter or digit, blank, other ASCII, other), and d refines the mix s' by its own height.
@@ -12,10 +15,10 @@ Weights and refinement begin alike for each document and follow the gradient of
 ``BLOCK`` bytes.  The score is the sum of -log2 p over all bits, over the whole text.
 
 A document's score depends on its text and the corpus' counts alone: documents are only put side by side (``LANES``
-at a time) to be computed at once.  The document is part of the corpus whose counts score it.
+at a time) to be computed at once.
 
 Defined cases: a NULL or empty text has 0 bytes, 0 bits and NULL bits per byte; repeated rows get equal scores (and count
-twice in the corpus); an empty table gives no rows; columns named as the new ones stay and the new ones get
+twice in their half); where the other half has no text, nothing is known and the score is about 8 bits per byte; an empty table gives no rows; columns named as the new ones stay and the new ones get
 leading underscores.
 """
 
@@ -27,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
@@ -79,20 +83,30 @@ def slots(h: np.ndarray, order: int) -> np.ndarray:
     return ((own * np.uint32(2654435761)) >> np.uint32(32 - bits)).astype(np.int64)
 
 
+def halves(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """0 or 1 for each text."""
+    data = memoryview(np.ascontiguousarray(raw))
+    return np.array([xxhash.xxh3_64_intdigest(data[a:b]) & 1 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], np.int64)
+
+
 def corpus_counts(texts: DataFrame) -> DataFrame:
     """(order, piece, cells, counts) of one text column: each task's counts of (slot, byte), by pieces of the tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = [np.zeros(1 << (b + 8), np.uint32) for b in SLOT_BITS]
+        total = [np.zeros(2 << (b + 8), np.uint32) for b in SLOT_BITS]  # the second half's counts come after the first's
         for b in batches:
             data, offsets = buffers(b.column(0))
             row = 0
             while row < len(offsets) - 1:
                 end = min(len(offsets) - 1, max(row + 1, int(np.searchsorted(offsets, offsets[row] + _COUNT_BYTES, "right")) - 1))
                 raw = data[offsets[row] : offsets[end]]
-                h = histories(raw, offsets[row:end] - offsets[row], np.diff(offsets[row : end + 1]))
+                own = offsets[row : end + 1] - offsets[row]
+                h = histories(raw, own[:-1], np.diff(own))
+                half = np.repeat(halves(raw, own), np.diff(own))
                 for k in range(K):
-                    total[k] += np.bincount(slots(h, k) * 256 + raw, minlength=len(total[k])).astype(np.uint32)
+                    cell = (slots(h, k) + (half << SLOT_BITS[k])) * 256
+                    cell += raw
+                    total[k] += np.bincount(cell, minlength=len(total[k])).astype(np.uint32)
                 row = end
         for k, t in enumerate(total):
             cells = np.flatnonzero(t)
@@ -140,7 +154,7 @@ def records(nodes: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def empty_nodes() -> list[np.ndarray]:
-    return [np.zeros(1 << (b + 8), np.int8) for b in SLOT_BITS]
+    return [np.zeros(2 << (b + 8), np.int8) for b in SLOT_BITS]
 
 
 def bits_of(raw: np.ndarray, offsets: np.ndarray, recs: list[np.ndarray]) -> np.ndarray:
@@ -148,16 +162,16 @@ def bits_of(raw: np.ndarray, offsets: np.ndarray, recs: list[np.ndarray]) -> np.
     sizes = np.diff(offsets)
     out = np.zeros(len(sizes))
     order = np.argsort(sizes, kind="stable")[::-1]
-    h = histories(raw, offsets[:-1], sizes)
+    h, other = histories(raw, offsets[:-1], sizes), 1 - halves(raw, offsets)
     for g in range(0, len(order), LANES):
         own = order[g : g + LANES]
         own = own[sizes[own] > 0]
         if len(own):
-            out[own] = _lanes(raw, h, offsets[own], sizes[own], recs)
+            out[own] = _lanes(raw, h, other[own], offsets[own], sizes[own], recs)
     return out
 
 
-def _lanes(raw: np.ndarray, h: np.ndarray, starts: np.ndarray, sizes: np.ndarray, recs: list[np.ndarray]) -> np.ndarray:
+def _lanes(raw: np.ndarray, h: np.ndarray, half: np.ndarray, starts: np.ndarray, sizes: np.ndarray, recs: list[np.ndarray]) -> np.ndarray:
     """Bits of some texts, longest first, one block of each at a time."""
     n = len(starts)
     weight = np.full((n * GATES, K * 8), START, np.float32)
@@ -176,7 +190,7 @@ def _lanes(raw: np.ndarray, h: np.ndarray, starts: np.ndarray, sizes: np.ndarray
         sign = np.take(_SIGN, byte, axis=0)
         x = np.empty((len(byte), K, 8), np.float32)
         for k in range(K):
-            x[:, k] = np.take(recs[k], slots(past, k) * 256 + byte).view(np.int8).reshape(-1, 8)
+            x[:, k] = np.take(recs[k], (slots(past, k) + (np.repeat(half[:live], width) << SLOT_BITS[k])) * 256 + byte).view(np.int8).reshape(-1, 8)
         x *= np.float32(1 / SCALE)
         gate = _GATE[past & np.uint32(255)]
         lane = np.repeat(np.arange(live), width)
