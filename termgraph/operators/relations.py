@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from termgraph import vocab
 from termgraph.functions import text as T
@@ -138,7 +139,7 @@ def classified(pairs: DataFrame, load: Callable[[], Callable[[list[str]], list[t
     """(chunk_id, subject, predicate, object, score): the labels that a model (made once a worker; texts -> (label, score)) gives the
     marked sentences of ``pairs``, without ``no_relation``, unsure and gated ones; the first of equal triples of a chunk."""
     ready = pairs.withColumn("marked", F.substring(marked("sentence", "s", entity_type("s_class"), "o", entity_type("o_class")), 1, max_chars)).where("marked IS NOT NULL")
-    schema = ready.schema.add("label", "string").add("score", "double")
+    schema = StructType([*ready.schema.fields, StructField("label", StringType()), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
