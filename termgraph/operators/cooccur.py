@@ -24,8 +24,8 @@ def label_fits(label: Column | str) -> Column:
         (F.length(letters) < 2)
         | T.doubled(c)
         | letters.rlike(T.greedy_units(sorted(vocab.CALENDAR)))
-        | T.has(c, "[()\\[\\]{}]|\\A['\"‘’“”]|['\"‘’“”]\\z")
-        | T.has(c, "\\A[-.,:;]|[-,:;!]\\z")
+        | T.has(c, "[()\\[\\]{}]|\\A[\"“”'‘’]|[‘’'“”\"]\\z")
+        | T.has(c, "\\A[.,:;-]|[!,:;-]\\z")
         | ((F.size(words) >= 2) & hangul & F.exists(words, lambda w: w.rlike("(?U)\\A\\d+\\z")))
         | (~cjk & T.full(c, "[A-Za-z]" + T.LETTERS) & ~T.is_upper(c))
         | (~cjk & first_latin.rlike("[a-z]") & (longest <= 2))

@@ -18,14 +18,14 @@ HUB = 5000
 def noun_key(name: Column | str, tokens: Column | str | None = None, strip_noise: bool = False) -> Column:
     """Key of a name: its nouns and foreign words together in lower case; without a reading, the name without separators.
 
-    Alternatives of the noise pattern are tried in the order of the closed list, so ``to`` inside a word goes too."""
+    No word of the noise pattern begins another, so their order doesn't matter; ``to`` inside a word goes too."""
     cleaned = F.regexp_replace(T.strip(F.coalesce(T.lit_or_col(name), F.lit(""))), SEPARATORS, "")
     if tokens is None:
         return F.lower(cleaned)
     nouns = F.array_join(F.transform(F.filter(T.lit_or_col(tokens), lambda t: t["tag"].startswith("N") | t["tag"].isin("SH", "SL", "SW")), lambda t: t["form"]), "")
     key = F.lower(nouns)
     if strip_noise:
-        key = F.regexp_replace(key, "to|from|of|by|with|for|the|and|or|is|are|has|have|" + "|".join(w for w in ENGLISH_NOISE.split("|") if len(w) > 4 or w == "link"), "")
+        key = F.regexp_replace(key, ENGLISH_NOISE, "")
     return F.when(cleaned == "", F.lit("")).when(nouns != "", key).otherwise(F.lower(cleaned))
 
 

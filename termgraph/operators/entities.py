@@ -13,6 +13,7 @@ from termgraph.functions import text as T
 
 MAX_CHARS = 1200
 BATCH = 32
+FIELDS = "word entity_group score start end".split()
 RAW = "chunk_id string, word string, entity_group string, score double, start int, end int"
 
 
@@ -59,8 +60,8 @@ def inferred(chunks: DataFrame, load: Callable[[], Callable[[list[str]], list[li
                             found.append(model([t])[0])
                         except Exception:
                             found.append([])
-                rows += [(c, e.get("word"), e.get("entity_group"), e.get("score"), e.get("start"), e.get("end")) for c, es in zip(part["chunk_id"], found) for e in es]
-            out = pd.DataFrame(rows, columns=["chunk_id", "word", "entity_group", "score", "start", "end"])
+                rows += [(c, *map(e.get, FIELDS)) for c, es in zip(part["chunk_id"], found) for e in es]
+            out = pd.DataFrame(rows, columns=["chunk_id", *FIELDS])
             yield out.astype({"start": "Int32", "end": "Int32", "score": "float64"})
 
     return chunks.select("chunk_id", F.substring(text, 1, max_chars).alias("t")).where(~T.is_blank("t")).mapInPandas(run, RAW)

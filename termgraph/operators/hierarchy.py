@@ -60,19 +60,19 @@ def suffix_hierarchy(names: DataFrame, min_children: int = 2, tokens: DataFrame
 
 def standalone_noun(tokens: Column, name: Column) -> Column:
     """A noun that stands alone: two characters or more, not a bound ending, all tokens nominal, the last a noun."""
-    nominal = F.forall(tokens, lambda t: t["tag"].isin("NNG", "NNP", "SL", "SN"))
-    return (F.length(name) >= 2) & ~name.isin(*vocab.BOUND) & (F.size(tokens) > 0) & nominal & F.element_at(tokens, -1)["tag"].isin("NNG", "NNP")
+    nominal = F.forall(tokens, lambda t: t["tag"].isin(*vocab.NOMINAL))
+    return (F.length(name) >= 2) & ~name.isin(*vocab.BOUND) & (F.size(tokens) > 0) & nominal & F.element_at(tokens, -1)["tag"].isin(*vocab.NOUNS)
 
 
 def suffix_variants(tokens: Column, phrase: Column) -> Column:
     """The noun endings of a phrase from short to long, then the phrase."""
-    nouns = F.transform(F.filter(tokens, lambda t: t["tag"].isin("NNG", "NNP")), lambda t: t["form"])
+    nouns = F.transform(F.filter(tokens, lambda t: t["tag"].isin(*vocab.NOUNS)), lambda t: t["form"])
     n = F.size(nouns)
     ends = F.transform(F.sequence(F.lit(1), n - 1), lambda k: F.array_join(F.slice(nouns, -k, k), ""))
     return F.when((n > 1) & T.has(phrase, T.HANGUL), F.concat(ends, F.array(phrase))).otherwise(F.array(phrase))
 
 
-DEFINED = "[\"“]([가-힣A-Za-z]{2,20})[\"”]\\s*(?:이란|란|이라 함은|라 함은|이라고|은|는)\\s+(.{5,80}?)(?:[을를이가])?\\s*말한다"
+DEFINED = "[\"“]([A-Za-z가-힣]{2,20})[\"”]\\s*(?:은|는|이라고|이?란|이?라 함은)\\s+(.{5,80}?)[가를을이]?\\s*말한다"
 
 
 def quoted_definitions(chunks: DataFrame, key: list[str], text: str = "chunk_text") -> DataFrame:
@@ -84,15 +84,13 @@ def quoted_definitions(chunks: DataFrame, key: list[str], text: str = "chunk_tex
 
 
 def strip_parens(s: str) -> str:
-    out, depth = [], 0
-    for ch in s:
-        if ch == "(":
-            depth += 1
-        elif ch == ")":
-            depth = max(0, depth - 1)
-        elif not depth:
-            out.append(ch)
-    return "".join(out)
+    kept, open_ = "", 0
+    for c in s:
+        if c in "()":
+            open_ = open_ + 1 if c == "(" else max(0, open_ - 1)
+        else:
+            kept += c * (not open_)
+    return kept
 
 
 class Token(tuple):
@@ -106,22 +104,23 @@ class Token(tuple):
 
 
 def _ends_sentence(tokens: list[Token]) -> bool:
-    return any(t.tag in ("EF", "EC") and t.form.endswith("다") for t in tokens[-3:]) or any(t.tag == "EF" for t in tokens[-2:])
+    tail = [(t.tag, t.form) for t in tokens[-3:]]
+    return any(g in vocab.FINITE_TAGS and f[-1:] == "다" for g, f in tail) or "EF" in [g for g, _ in tail[-2:]]
 
 
 def _subject(tokens: list[Token]) -> str:
     got: list[str] = []
     for t in tokens:
-        if t.tag in ("NNG", "NNP"):
-            got.append(t.form)
-        elif t.tag in ("JX", "JKS") or (got and t.tag not in ("SL", "SN", "SH")) or (t.tag == "JKG" and not got):
+        if t.tag in vocab.NOUNS:
+            got += [t.form]
+        elif t.tag in vocab.TOPIC_TAGS or (t.tag not in vocab.FOREIGN_TAGS if got else t.tag == "JKG"):
             break
     return "".join(got)
 
 
 def _run_before(tokens: list[Token], stop: int) -> str:
     first = stop
-    while first and tokens[first - 1].tag in ("NNG", "NNP"):
+    while first and tokens[first - 1].tag in vocab.NOUNS:
         first -= 1
     cut = first < stop and first and tokens[first - 1].tag in ("SL", "SN")  # the phrase goes on to the left: a torn one
     return "" if cut else "".join(t.form for t in tokens[first:stop])
@@ -137,7 +136,7 @@ def _heads(tokens: list[Token]) -> list[str]:
                 found.append((0, _run_before(tokens, i)))
         elif (t.form, t.tag) == ("에", "JKB") and "속하" in "".join(ahead[:2]):
             found.append((1, _run_before(tokens, i)))
-        elif (t.form in ("말", "일컫") and t.tag in ("NNG", "VV")) or (t.form in ("가리키", "불리", "칭하") and t.tag[:1] == "V"):
+        elif (t.form in vocab.SAYS and t.tag in {"VV", "NNG"}) or (t.form in vocab.NAMES and t.tag[:1] == "V"):
             j = i
             while j and tokens[j - 1].tag == "JKO":
                 j -= 1
@@ -163,7 +162,7 @@ def defining_sentence(pieces: list[tuple[str, list[Token]]]) -> tuple[list[Token
 
 def pieces(text: Column) -> Column:
     """The first five pieces of a text that may be its defining sentence."""
-    return F.slice(F.split(T.strip(text), "(?<=다)\\.(?=\\s|[가-힣A-Za-z])|[.!?]\\s|\\n", -1), 1, 5)
+    return F.slice(F.split(T.strip(text), "\\n|[!.?]\\s|(?<=다)\\.(?=[A-Za-z가-힣]|\\s)", -1), 1, 5)
 
 
 def definitional_pairs(sentences: DataFrame, phrases: DataFrame, key: list[str]) -> DataFrame:

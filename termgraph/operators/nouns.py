@@ -65,7 +65,7 @@ def english_nouns(chunks: DataFrame, key: list[str], domain: tuple[str, ...] = (
     """The same for English: runs of NN* tokens that are Latin throughout, joined by blanks, equal without case.
 
     A single common noun stays only where it is a word of the domain and not a stop word."""
-    noun = F.col("tag").startswith("NN") & T.full("form", "[A-Za-z][A-Za-z0-9.-]*")
+    noun = F.col("tag").startswith("NN") & T.full("form", "[A-Za-z][0-9A-Za-z.-]*")
     rows = noun_runs(chunks, key, noun, F.col("tag").isin("NNP", "NNPS"), " ").withColumn("low", F.lower("surface"))
     kept = rows.where((F.length("surface") >= 2) & (F.col("n") <= max_words) & (F.length("surface") <= max_len))
     if require_compound:

@@ -71,7 +71,7 @@ def english_triples(parsed: DataFrame) -> DataFrame:
     return parsed.select("chunk_id", "nodes").mapInPandas(run, f"chunk_id {kind}, ord int, {TRIPLE}")
 
 
-SPLIT = "(?<![0-9])(?<![A-Za-z])(?<=다)\\.(?=\\s)|(?<![0-9A-Za-z])(?<=[!?])\\s"
+SPLIT = "(?<=[!?])\\s|(?<=다)\\.(?=\\s)"
 
 
 def split_sentences(text: Column | str) -> Column:
@@ -282,7 +282,7 @@ def call_in_order(candidates: DataFrame, budget: Budget, total_chunks: int, call
 def _out_chars(raw: str) -> int:
     try:
         got = json.loads(raw[raw.index("{") : raw.rindex("}") + 1]).get("triples", [])
-        return sum(len(str(t["s"]) + str(t["p"]) + str(t["o"])) for t in got if isinstance(t, dict) and t.get("s") and t.get("p") and t.get("o"))
+        return sum(len(str(t[k])) for t in got if all(t.get(x) for x in "spo") for k in "spo")
     except (ValueError, AttributeError, TypeError, KeyError):
         return 0
 

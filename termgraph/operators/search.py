@@ -38,11 +38,12 @@ def class_instances(instances: DataFrame, hierarchy: DataFrame, transitive: bool
 
 def instances_pattern(transitive: bool = True) -> str:
     """The same as a SPARQL group pattern."""
-    tail = "?i rdfs:label ?il"
-    return f"?sub rdfs:subClassOf* ?c . ?i rdf:type ?sub . {tail}" if transitive else f"?i rdf:type ?c . {tail}"
+    below = [("?sub", "rdfs:subClassOf*", "?c")] if transitive else []
+    own = [("?i", "rdf:type", "?sub" if transitive else "?c"), ("?i", "rdfs:label", "?il")]
+    return " . ".join(" ".join(t) for t in below + own)
 
 
-def blend(vscore: Column | str, knorm: Column | str, vmin: Column | str, vrng: Column | str, w_vec: float = 0.7, w_key: float = 0.3) -> Column:
+def blend(vscore: Column | str, knorm: Column | str, vmin: Column | str, vrng: Column | str, w_vec=0.7, w_key=0.3) -> Column:
     """Vector score, normalised, and keyword score; where the vector score is missing or has no range, the keyword score for both."""
     v, k = T.lit_or_col(vscore), T.lit_or_col(knorm)
     normal = (v.cast("double") - T.lit_or_col(vmin)) / F.nullif(T.lit_or_col(vrng).cast("double"), F.lit(0.0))

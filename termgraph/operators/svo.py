@@ -13,19 +13,21 @@ from termgraph import vocab
 from termgraph.operators.hierarchy import Token
 
 OF = "의"
-SENTENCE = re.compile(r"(?<=[.!?。\n])\s+|(?<=다\.)\s*")
-ITEM = re.compile(r"\s*(?:\d+(?:의\d+)?|[가-힣])\)\s")
+SENTENCE = re.compile(r"(?<=다\.)\s*|(?<=[\n!.?。])\s+")
+_MARK = re.compile(r"^(\s*(?:[가-힣]|\d+(?:의\d+)?))\.(?=\s)", re.M)
+_TAG = re.compile(r"<[^><]{,100}>")
+ITEM = re.compile(r"\s*(?:[가-힣]|\d+(?:의\d+)?)\)\s")
 FORBIDS = re.compile(r"아니\s?된다|못한다|수\s?없다")
 _OPEN, _CLOSE = "(（", ")）"
 _QUOTES = "「」『』“”"
-_NAME = re.compile(r"[가-힣]{2,}")
-_NAME_DIGITS = re.compile(r"[가-힣][가-힣0-9]+")
+_NAME = re.compile("[가-힣][가-힣]+")
+_NAME_DIGITS = re.compile("[가-힣][0-9가-힣]+")
 NO = " 금지"
 
 
 def prepared(text: str) -> str:
     """Without tags; ``1.`` and ``가.`` at a line's start as ``1)`` and ``가)``."""
-    return re.sub(r"(?m)^(\s*(?:\d+(?:의\d+)?|[가-힣]))\.(?=\s)", r"\1)", re.sub(r"<[^<>]{0,100}>", " ", text))
+    return _MARK.sub(r"\1)", _TAG.sub(" ", text))
 
 
 def sentences(text: str) -> list[str]:
@@ -98,8 +100,9 @@ class Walk:
         was, found = "", False
         for t in self.tokens[i + 1 : i + 10]:
             if (
-                t.form in ("않", "아니하")
-                or (t.tag == "VX" and (t.form == "못하" or (t.form == "말" and was == "지")))
+                t.form in vocab.NOT
+                or (t.tag, t.form) == ("VX", "못하")
+                or (t.tag, t.form, was) == ("VX", "말", "지")
                 or (t.tag, t.form) == ("MAG", "아니")
                 or ((t.tag, t.form) == ("VA", "없") and was == "수")
             ):
@@ -155,7 +158,7 @@ class Walk:
     def prefix(self, i: int) -> int:
         """Prefixes and numbers from i: part of a noun that follows at once, else passed over."""
         j = i
-        while self.at(j).tag in ("XPN", "SN"):
+        while self.at(j).tag in vocab.PREFIX_TAGS:
             j += 1
         stop = self.at(j - 1).end
         if self.at(j).tag in ("NNG", "NNP") and self.at(j).start == stop:
@@ -185,7 +188,7 @@ class Walk:
             self.subject, self.used, self.topic, self.place = self.place, False, self.place, ""
         else:
             nxt = self.at(i + 1)
-            exists = not topical and nxt.form in ("있", "없") and nxt.tag in ("VA", "VV", "VX")
+            exists = not topical and nxt.form in vocab.EXISTS and nxt.tag in vocab.EXISTS_TAGS
             name = phrase(self.buffer)
             if name and not exists:
                 if not topical:
@@ -225,7 +228,7 @@ class Walk:
         if t.form in vocab.VERBS_AUXILIARY:
             return
         nxt = self.at(i + 1)
-        ends = nxt.tag == "EF" or (nxt.tag == "EC" and nxt.form in ("어야", "아야", "여야"))
+        ends = nxt.tag == "EF" or (nxt.form in vocab.MUST and nxt.tag == "EC")
         name = nominal(t.form)
         if ends and 2 <= len(name) <= 20 and name not in vocab.STOP_KO and _NAME.fullmatch(name) and not self.modifies(i):
             self.emit(name, i)

@@ -123,7 +123,7 @@ def _definitions(chunks: DataFrame, load: Callable) -> DataFrame:
 
         def alone(s: str) -> bool:
             t = tokens(s)
-            return len(s) > 1 and s not in vocab.BOUND and bool(t) and all(x.tag in ("NNG", "NNP", "SL", "SN") for x in t) and t[-1].tag in ("NNG", "NNP")
+            return len(s) > 1 and s not in vocab.BOUND and bool(t) and all(x.tag in vocab.NOMINAL for x in t) and t[-1].tag in vocab.NOUNS
 
         for b in batches:
             out = []
@@ -136,7 +136,7 @@ def _definitions(chunks: DataFrame, load: Callable) -> DataFrame:
                     continue
                 seen = set()
                 for run_ in hierarchy._heads(own):
-                    nouns_ = [t.form for t in tokens(run_) if t.tag in ("NNG", "NNP")]
+                    nouns_ = [t.form for t in tokens(run_) if t.tag in vocab.NOUNS]
                     ends = ["".join(nouns_[-k:]) for k in range(1, len(nouns_))] if len(nouns_) > 1 else []
                     for p in [*ends, run_]:
                         if p and p != child and p not in seen and p not in vocab.NOT_A_PARENT and alone(p):

@@ -30,7 +30,7 @@ LABELS = values("label", ", ".join(f"('{x}')" for x in "서울|서울서울|서
 
 @query(f"""WITH t AS ({LABELS}), x AS (SELECT label, trim(label) AS c, array_to_string(regexp_extract_all(label, '[\\p{{L}}\\p{{Nl}}\\p{{No}}]'), '') AS letters FROM t)
 SELECT label, NOT (length(letters) < 2 OR (length(c) >= 6 AND length(c) % 2 = 0 AND c[:length(c) // 2] = c[length(c) // 2 + 1:])
-  OR regexp_full_match(letters, '(?:기원전|기원후|년대|세기|연도|년|월|일|시|분|초)+') OR regexp_matches(c, '[()\\[\\]{{}}]|^[''"‘’“”]|[''"‘’“”]$|^[-.,:;]|[-,:;!]$')
+  OR regexp_full_match(letters, '(?:기원전|기원후|년대|세기|연도|년|월|일|시|분|초)+') OR regexp_matches(c, '[()\\[\\]{{}}]|^["“”''‘’]|[‘’''“”"]$|^[.,:;-]|[!,:;-]$')
   OR (contains(c, ' ') AND regexp_matches(c, '[가-힣]') AND regexp_matches(c, '(?:^|\\s)\\d+(?:\\s|$)'))
   OR (NOT regexp_matches(c, '[가-힣一-鿿]') AND ((length(c) = 2 AND regexp_full_match(c, '[A-Za-z]\\pL') AND NOT (c = upper(c)))
     OR (regexp_matches(regexp_extract(c, '[A-Za-z]'), '[a-z]') AND list_max(list_transform(regexp_extract_all(c, '[\\p{{L}}\\p{{Nl}}\\p{{No}}]+'), lambda w: length(w))) <= 2)))) AS fits FROM x""")
@@ -177,7 +177,7 @@ def korean_suffixes_read(spark: S, d: str) -> DataFrame:
 
 
 _QUOTED = values("chunk_id, chunk_text", "('a', '\"대주주\"란 발행주식 총수의 100분의 10 이상을 가진 주주를 말한다'), ('b', '“은행”이란 은행업을 경영하는 법인을 말한다. “대출”은 돈을 빌려 주는 것을 말한다'), ('c', '없다')")
-_DEF_RE2 = '["“]([가-힣A-Za-z]{2,20})["”]\\s*(?:이란|란|이라 함은|라 함은|이라고|은|는)\\s+(.{5,80}?)(?:[을를이가])?\\s*말한다'
+_DEF_RE2 = hierarchy.DEFINED
 
 
 @query(f"""WITH t AS ({_QUOTED}), f AS (SELECT chunk_id, unnest(regexp_extract_all(chunk_text, '{_DEF_RE2}', 1)) AS child, unnest(regexp_extract_all(chunk_text, '{_DEF_RE2}', 2)) AS body FROM t)

@@ -13,6 +13,13 @@ def _set(words: str) -> frozenset[str]:
 STOP_KO = _set("각 개정 것 경우 결의 관련 기타 내용 다음 등 때 또는 말한다 목 목적 및 바 발생 부분 사유 사항 삭제 수 수수 승계 신설 어느 업무 이익 이하 자 적용 절차 정의 제출 제한 준용 지급 취득 한다 항 해당 행위 호")
 STOP_EN = _set("area case example fact form group kind level list member name number order part period place point process range rate result set side state system term thing time type use value way")
 
+FINITE_TAGS, TOPIC_TAGS, FOREIGN_TAGS = _set("EC EF"), _set("JKS JX"), _set("SH SL SN")
+SAYS, NAMES = _set("말 일컫"), _set("가리키 불리 칭하")
+EXISTS, EXISTS_TAGS = _set("없 있"), _set("VA VV VX")
+MUST = _set("아야 어야 여야")
+PREFIX_TAGS = _set("SN XPN")
+NOT = _set("아니하 않")
+
 GENUS = _set("갈래 분야 일종 종류 품종 하나 한종 형태")
 NOT_A_PARENT = _set(
     "가지 갈래 것 결과 경우 곳 기반 기초 나열 낱말 남편 누나 단어 대상 동생 등 딸 때 때문 마련 말 명칭 목록 바 바탕 방법 방식 별칭 부류 부모 부문 부분 부인 분야 뿐 상징 성질 셈 수 수장 아내 아들 아버지 "
@@ -33,6 +40,8 @@ PLURAL = "들"
 
 CALENDAR = _set("기원전 기원후 년 년대 분 세기 시 연도 월 일 초")
 
+NOUNS = _set("NNG NNP")
+NOMINAL = _set("NNG NNP SL SN")
 NOUNISH = _set("NNB NNG NNP SL SN XR XSN")
 CONTENT_NOUNS = _set("NNG NNP SL XR")
 RELATIVE_HEADS = _set("가운데 경우 근처 당시 때문 무렵 부근 부분 시절 오늘날 이래 이전 이후 인근 일대 일부 전역")
@@ -40,7 +49,7 @@ DEICTIC = _set("당해 이번 해당")
 
 NER_KO = dict(zip("AF AM CV DT EV FD LC MT OG PS PT QT TI TM TR".split(), "인공물 동물 문화·제도 날짜 사건 분야 지역 물질 기관 인물 식물 수량 시간 용어 이론".split()))
 NER_EN = {"LOC": "지역", "MISC": "기타", "ORG": "기관", "PER": "인물"}
-ENTITY_TYPE = {"기관": "ORG", "날짜": "DAT", "수량": "NOH", "시간": "DAT", "인물": "PER", "지역": "LOC"}
+ENTITY_TYPE = dict(zip("기관 날짜 수량 시간 인물 지역".split(), "ORG DAT NOH DAT PER LOC".split()))
 KNOWN_CLASSES = _set("기관 날짜 동물 문화·제도 물질 사건 수량 시간 식물 용어 이론 인공물 인물 지역")
 PERSON = "인물"
 
@@ -104,7 +113,7 @@ per:siblings = 누나 동생 언니 자매 형제
 per:spouse = 결혼 남편 배우자 부인 아내
 """)
 
-RELATIVE_TIME = "(?:올|지난|다음|이번) ?(?:[주달해])|(?:올 ?)?(?:하|상)반기|(?:[1-4] ?)?분기|내일|오늘|어제|당일|최근|이전|이후|당시|이날|오후|오전|내년|작년|지난해|올해|이달|지난|.*개월 ?동안?|두 ?달.*|.*[달년] ?만"
+RELATIVE_TIME = "(?:올|지난|다음|이번) ?(?:[주달해])|(?:올 ?)?(?:하|상)반기|(?:[1-4] ?)?분기|내일|오늘|어제|당일|최근|이전|이후|당시|이날|오후|오전|내년|작년|지난해|올해|이달|지난|두 ?달.*|.*[달년] ?만|.*개월 ?동안?"
 
 EVIDENCE = {k: v.split() for k, v in {
     "가수": "가수 걸그룹 노래 데뷔곡 멤버 보이그룹 보컬 신곡 아이돌 앨범 음원 컴백",

@@ -177,7 +177,7 @@ def test_budget_zero_is_rules_alone_and_caps_hold(spark):
 def test_readers_and_writers(spark, tmp_path):
     (tmp_path / "s.tsv").write_text("a\tr1 r2\nb\t\nonly\na\tr3\n", encoding="utf-8")
     assert {r.surface: r.reps for r in readers.synonym_file(spark, str(tmp_path / "s.tsv")).collect()} == {"a": ["r3"]}
-    with gzip.open(tmp_path / "l.json.gz", "wt", encoding="utf-8") as f:
+    with gzip.open(tmp_path / "l.json.gz", "wt") as f:
         json.dump([{"label": "홍 길동", "concept": "b", "conf": 0.5, "src": "x"}, {"label": "홍길동", "concept": "a", "conf": 0.5, "src": "x"}], f)
     lex = readers.lexicon(spark, str(tmp_path / "l.json.gz")).orderBy("place").collect()
     assert [(r.key, r.concept) for r in lex] == [("홍길동", "a"), ("홍길동", "b")]
