@@ -261,7 +261,7 @@ def test_whole_build_with_an_injected_tokenizer(spark):
     chunks = spark.createDataFrame(rows, "doc_id string, doc_seq long, chunk_id string, chunk_seq int, chunk_text string")
     g, triples = build.build_full(chunks, _tools(), Config(dedup=True))
     assert {"생명보험업", "손해보험업", "화재보험업"} <= {r.name for r in g.classes.collect()}
-    assert ("손해보험업", "인수", "위험") in {(r.subject, r.predicate, r.object) for r in g.relations.collect()}
+    assert ("보험업", "인수", "위험") in {(r.subject, r.predicate, r.object) for r in g.relations.collect()}
     assert g.data_properties.count() == 0 and g.stats.first().df_gate_active is False and triples.count() > 4
     assert g.entities.count() == 1
     again = build.build(chunks.limit(0), _tools(), existing=build.build(chunks, _tools()))
