@@ -42,7 +42,7 @@ ORDERS = (1, 2, 3, 4)
 SLOT_BITS = (8, 12, 13, 14)
 K = len(ORDERS)
 BLOCK = 256
-LANES = 64
+LANES = 32
 GATES = 4
 BINS = 33
 START = 0.3
@@ -163,56 +163,85 @@ def bits_of(raw: np.ndarray, offsets: np.ndarray, recs: list[np.ndarray]) -> np.
     out = np.zeros(len(sizes))
     order = np.argsort(sizes, kind="stable")[::-1]
     h, other = histories(raw, offsets[:-1], sizes), 1 - halves(raw, offsets)
+    room = _Room(LANES * BLOCK)
     for g in range(0, len(order), LANES):
         own = order[g : g + LANES]
         own = own[sizes[own] > 0]
         if len(own):
-            out[own] = _lanes(raw, h, other[own], offsets[own], sizes[own], recs)
+            out[own] = _lanes(raw, h, other[own], offsets[own], sizes[own], recs, room)
     return out
 
 
-def _lanes(raw: np.ndarray, h: np.ndarray, half: np.ndarray, starts: np.ndarray, sizes: np.ndarray, recs: list[np.ndarray]) -> np.ndarray:
+class _Room:
+    """Arrays that every step of every group of lanes reuses: fresh ones of this size would be mapped anew each time."""
+
+    def __init__(self, n: int):
+        f, i = np.float32, np.int64
+        self.x = np.empty((K, n, 8), f)
+        self.s, self.sign, self.u, self.more, self.error = (np.empty((n, 8), f) for _ in range(5))
+        self.bins, self.record = np.empty((n, 8), i), np.empty(n, i)
+
+
+def _lanes(raw: np.ndarray, h: np.ndarray, half: np.ndarray, starts: np.ndarray, sizes: np.ndarray, recs: list[np.ndarray], room: _Room) -> np.ndarray:
     """Bits of some texts, longest first, one block of each at a time."""
     n = len(starts)
-    weight = np.full((n * GATES, K * 8), START, np.float32)
+    weight = np.full((K, n * GATES, 8), START, np.float32)
     refine = np.zeros(n * 8 * BINS, np.float32)
     total = np.zeros(n)
-    lane_bins = (np.arange(8) * BINS)[None] + (np.arange(n) * 8 * BINS)[:, None]
-    gates = np.arange(GATES, dtype=np.float32)
+    lane_bins = ((np.arange(8) * BINS)[None] + (np.arange(n) * 8 * BINS)[:, None])[:, None]
+    lane_gates = np.arange(n)[:, None] * GATES
+    gates = np.arange(GATES)[:, None]
     for at in range(0, int(sizes[0]), BLOCK):
         live = int(np.searchsorted(-sizes, -at, "left"))
         width = min(BLOCK, int(sizes[0]) - at)
-        step = np.arange(width)
-        inside = (step[None] + at) < sizes[:live, None]
-        place = np.where(inside, starts[:live, None] + at + step, 0).ravel()
-        inside = inside.ravel()
+        m = live * width
+        s, sign, u, more, error, bins, record = (a[:m] for a in (room.s, room.sign, room.u, room.more, room.error, room.bins, room.record))
+        step = np.arange(at, at + width)
+        inside = step < sizes[:live, None]
+        place = (np.minimum(step, sizes[:live, None] - 1) + starts[:live, None]).ravel()
         byte, past = raw[place].astype(np.int64), h[place]
-        sign = np.take(_SIGN, byte, axis=0)
-        x = np.empty((len(byte), K, 8), np.float32)
-        for k in range(K):
-            x[:, k] = np.take(recs[k], (slots(past, k) + (np.repeat(half[:live], width) << SLOT_BITS[k])) * 256 + byte).view(np.int8).reshape(-1, 8)
-        x *= np.float32(1 / SCALE)
-        gate = _GATE[past & np.uint32(255)]
-        lane = np.repeat(np.arange(live), width)
-        mixed = np.take(weight, lane * GATES + gate, axis=0).reshape(x.shape)
-        mixed *= x
-        s = mixed[:, 0] + mixed[:, 1]
-        for k in range(2, K):
-            s += mixed[:, k]
+        gate = _GATE[past & np.uint32(255)].reshape(live, width)
+        own = (lane_gates[:live] + gate).ravel()
+        for k in range(K):  # predictors one by one, each in an array without gaps
+            x = room.x[k, :m]
+            cell = slots(past, k)
+            by_lane = cell.reshape(live, width)
+            by_lane += half[:live, None] << SLOT_BITS[k]
+            cell <<= 8
+            cell |= byte
+            np.take(recs[k], cell, out=record, mode="clip")
+            np.multiply(record.view(np.int8).reshape(m, 8), np.float32(1 / SCALE), out=x)
+            np.take(weight[k], own, axis=0, out=more if k else s, mode="clip")
+            if k:
+                more *= x
+                s += more
+            else:
+                s *= x
         np.clip(s, -8, 8, out=s)
-        bins = (s * 2 + np.float32(16.5)).astype(np.int64)
-        bins += np.take(lane_bins, lane, axis=0)
-        s += np.take(refine, bins)
-        u = np.exp(-s * sign)
-        cost = np.log2(1 + u).sum(axis=1)
-        total[:live] += np.where(inside, cost, 0).reshape(live, width).sum(axis=1, dtype=np.float64)
-        error = u / (1 + u)
+        np.multiply(s, 2, out=more)
+        more += np.float32(16.5)
+        np.copyto(bins, more, casting="unsafe")
+        wide = bins.reshape(live, width, 8)
+        wide += lane_bins[:live]
+        np.take(refine, bins, out=more, mode="clip")
+        s += more
+        np.take(_SIGN, byte, axis=0, out=sign, mode="clip")
+        s *= sign
+        np.negative(s, out=s)
+        np.exp(s, out=u)
+        if not inside[:, -1].all():
+            u *= inside.reshape(m, 1)  # a padded byte costs nothing and teaches nothing
+        np.add(u, 1, out=s)
+        np.divide(u, s, out=error)
         error *= sign
-        error *= inside[:, None]
+        parts = s.reshape(live, 2, width * 4)
+        total[:live] += np.log2(parts[:, 0] * parts[:, 1]).sum(axis=1, dtype=np.float64)
         refine += np.float32(REFINE) * np.bincount(bins.ravel(), weights=error.ravel(), minlength=len(refine)).astype(np.float32)
-        x *= error[:, None]
-        one = (gate.reshape(live, 1, width) == gates[:, None]).astype(np.float32)
-        weight[: live * GATES] += np.float32(RATE) * np.matmul(one, x.reshape(live, width, K * 8)).reshape(live * GATES, K * 8)
+        one = (gate[:, None] == gates).astype(np.float32)
+        for k in range(K):
+            x = room.x[k, :m]
+            x *= error
+            weight[k, : live * GATES] += np.float32(RATE) * np.matmul(one, x.reshape(live, width, 8)).reshape(live * GATES, 8)
     return total
 
 
