@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 from termgraph.llm.vectortext import buffers, span_hashes
 from termgraph.storage import fresh_name
 
-CHUNK_BYTES = 4 << 20
-CACHE_SLICES = 2_000_000
+CHUNK_BYTES = 1 << 20
+CACHE_SLICES = 500_000
 _BLOCK = 256
 
 # classes of code points, with look ahead
