@@ -398,6 +398,8 @@ def test_quality_cases(odd, none):
     assert {"keep", "_keep", "soft", "_soft"} <= set(out.columns)
     rows = out.collect()
     assert len(rows) == 10 and not any(r["_keep"] for r in rows if not r.text)
+    unbroken = odd.limit(1).withColumn("text", F.repeat(F.lit("漢"), 500_000))
+    assert quality_rules.judged(unbroken).count() == 1
     assert quality_rules.keep_good(odd).columns == odd.columns and quality_rules.keep_good(none).count() == 0
 
 
