@@ -31,6 +31,7 @@ BITS = 12
 DIMS = 4
 TARGET_BYTES = 32 << 20
 MAX_SHARDS = 4_000_000
+MAX_TASKS = 200_000
 _NONE = -(1 << 63)
 
 
@@ -92,7 +93,8 @@ def shard(docs: DataFrame, target_bytes: int = TARGET_BYTES, text: str = "text",
     curve_name, shard_name = fresh_name(docs, "curve"), fresh_name(docs, "shard")
     out = placed(docs, curve_name, source, lang, n_chars, id)
     out = out.withColumn(shard_name, shard_of(curve_name, F.coalesce(F.col(id), F.lit(_NONE))))
-    return out.repartition(F.col(shard_name)).sortWithinPartitions(shard_name, curve_name, id)
+    tasks = min(max(1, len(first)), MAX_TASKS)  # a shard a task, or runs of them: hashing would put several in one by chance
+    return out.repartitionById(tasks, F.floor(F.col(shard_name) * tasks / max(1, len(first))).cast("int")).sortWithinPartitions(shard_name, curve_name, id)
 
 
 SQL = f"""
