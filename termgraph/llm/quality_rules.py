@@ -7,6 +7,10 @@ three documents isn't condemned by two of them.  A document is rejected when it
 passes a hard limit, or when it passes a soft limit of a rule whose shrunk rate at
 its host is above ``host_limit``.  A document that passes no limit is never rejected.
 
+Words are runs between blanks; a word counts as having letters by Unicode class, whatever its script.  Scripts that don't part
+words (Han, kana, Thai, Lao, Tibetan, Burmese, Khmer): words with such characters are left out where word length is judged, and each such
+character counts as a word where symbols are compared with words.
+
 All of it is JVM-side.  The host table has a row a host: it is written once and its
 size is checked before it is broadcast; a larger one is joined by shuffle.
 
@@ -27,6 +31,8 @@ RULES = ("symbols", "upper", "repeats", "nonalpha", "lines", "length")
 HOST_LIMIT = 0.5
 BROADCAST_HOSTS = 200_000
 _WORD = "[^ \\t\\r\\n]+"
+#: scripts that don't part words by blanks
+_UNSPACED = "\\u0E00-\\u109F\\u1780-\\u17FF\\u3040-\\u30FF\\u31F0-\\u31FF\\u3400-\\u4DBF\\u4E00-\\u9FFF\\uF900-\\uFAFF\\uFF66-\\uFF9F\\x{20000}-\\x{3FFFF}"
 
 
 def measures(text: Column) -> dict[str, Column]:
@@ -36,16 +42,23 @@ def measures(text: Column) -> dict[str, Column]:
         removed = F.replace(removed, F.lit(s), F.lit(""))
     parts = F.split(text, "[ \\t\\r\\n]+", -1)
     lines = F.split(text, "\n", -1)
+    # from a word's start, without going back: linear on any word
+    spaced = F.regexp_replace(text, f"(?<![^ \\t\\r\\n])[^ \\t\\r\\n{_UNSPACED}]*+[{_UNSPACED}][^ \\t\\r\\n]*+[ \\t\\r\\n]*+", "")
+    other = F.struct(
+        (F.regexp_count(text, F.lit(_WORD)) + F.regexp_count(text, F.lit(f"[{_UNSPACED}]"))).alias("units"), F.length(spaced).alias("spaced_chars"), F.regexp_count(spaced, F.lit(_WORD)).alias("spaced_words")
+    )
     return {
         "chars": F.length(text),
         "words": F.regexp_count(text, F.lit(_WORD)),
         "symbols": F.length(text) - F.length(removed),
-        "upper": F.regexp_count(text, F.lit("[A-ZÀ-ÖØ-Þ]")),
+        "upper": F.regexp_count(text, F.lit("\\p{Lu}")),
         # words less those without a letter; that pattern begins at a word's start and never goes back, so that it is linear on any word
-        "alpha": F.regexp_count(text, F.lit(_WORD)) - F.regexp_count(text, F.lit("(?<![^ \\t\\r\\n])[^ \\t\\r\\nA-Za-zÀ-ÖØ-öø-ÿ]++(?![^ \\t\\r\\n])")),
+        "alpha": F.regexp_count(text, F.lit(_WORD)) - F.regexp_count(text, F.lit("(?<![^ \\t\\r\\n])[^ \\t\\r\\n\\p{L}]++(?![^ \\t\\r\\n])")),
         "kinds": F.size(F.array_distinct(parts)),
         "lines": F.size(lines),
         "line_kinds": F.size(F.array_distinct(lines)),
+        # NULL, after one scan, for a text that can't have such a script
+        "other": F.when(F.regexp_like(text, F.lit("[\\u0E00-\\x{3FFFF}]")), other),
     }
 
 
@@ -59,6 +72,9 @@ LIMITS = {
     "length": ("(chars > words * 12 OR chars < words * 3) AND words >= 10", "(chars > words * 20 OR chars * 2 < words * 5) AND words >= 10"),
 }
 
+#: measures that a rule's limits mean; they differ from those named only in texts with unspaced scripts, which the SQL check's tables lack
+MEANT = {"symbols": {"words": "units"}, "length": {"chars": "spaced_chars", "words": "spaced_words"}}
+
 
 def flags(docs: DataFrame, text: str, soft: str, hard: str) -> DataFrame:
     """``docs`` with two bit masks: bit i is rule i of RULES, the next one ``no_text``."""
@@ -72,15 +88,16 @@ def flags(docs: DataFrame, text: str, soft: str, hard: str) -> DataFrame:
         for i, rule in enumerate(RULES):
             cond = LIMITS[rule][which]
             for k in ("line_kinds", "symbols", "upper", "kinds", "alpha", "words", "chars", "lines"):
-                cond = _field(cond, k, m)
+                own = MEANT.get(rule, {}).get(k)
+                cond = _field(cond, k, f"coalesce(`{m}`.other.{own},`{m}`.{k})" if own else f"`{m}`.{k}")
             bits = bits + F.when(F.expr(cond), 1 << i).otherwise(0)
         return F.when(F.col(m).isNull(), F.lit(1 << len(RULES))).otherwise(bits)
 
     return out.withColumns({soft: mask(0), hard: mask(1)}).drop(m)
 
 
-def _field(condition: str, name: str, owner: str) -> str:
-    return " ".join(f"`{owner}`.{name}" if w == name else w for w in condition.replace("(", " ( ").replace(")", " ) ").split())
+def _field(condition: str, name: str, field: str) -> str:
+    return " ".join(field if w == name else w for w in condition.replace("(", " ( ").replace(")", " ) ").split())
 
 
 def host_rates(flagged: DataFrame, host: str, soft: str) -> DataFrame:

@@ -393,6 +393,22 @@ def test_host_verdicts_and_prior(spark):
     assert {r.doc_id: r.keep for r in shuffled.collect()} == {k: r.keep for k, r in out.items()}
 
 
+def test_quality_keeps_clean_texts_of_any_script(spark):
+    korean = "지식 그래프는 문서에서 용어와 관계를 뽑아 만든다 그리고 각 용어의 정의와 출처를 함께 적어 둔다"
+    russian = "Граф знаний строится из текстов и хранит термины вместе с их определениями а также связи между ними"
+    greek = "Το γράφημα γνώσης χτίζεται από κείμενα και κρατά τους όρους μαζί με τους ορισμούς τους και τις σχέσεις"
+    hindi = "ज्ञान ग्राफ पाठों से बनाया जाता है और शब्दों को उनकी परिभाषाओं के साथ रखता है तथा संबंध भी"
+    chinese = " ".join(f"知识图谱是从大量文本中抽取术语和关系并把每个术语的定义与来源保存下来的结构其中第{c}部分占总量的很大比例。" for c in "一二三四五六七八九十百千")
+    percent = "知识图谱是从大量文本中抽取术语和关系,其中约有40%来自公开的文档。\n其余的来自词典。"
+    japanese = " ".join(f"知識グラフは文書から用語と関係を取り出して作られ、その第{c}部には用語の定義と出典が一緒に書かれている。" for c in "一二三四五六七八九十百千")
+    clean = [korean, russian, greek, hindi, chinese, percent, japanese, chinese + " " + russian]
+    junk = ["-- 12 ## 34 !! 56 ++ 78 .. 90", "ГРАФ ЗНАНИЙ СТРОИТСЯ ИЗ ТЕКСТОВ И ХРАНИТ ТЕРМИНЫ", "知识 " + "x" * 400 + " щ" * 9]
+    rows = [(i, t, f"h{i}") for i, t in enumerate(clean + junk)]
+    out = {r.doc_id: r for r in quality_rules.judged(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert [i for i in range(len(clean)) if not out[i].keep or out[i].hard or out[i].soft] == []
+    assert not any(out[len(clean) + i].keep for i in range(len(junk)))
+
+
 def test_quality_cases(odd, none):
     out = quality_rules.judged(odd)
     assert {"keep", "_keep", "soft", "_soft"} <= set(out.columns)
