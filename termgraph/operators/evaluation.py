@@ -149,6 +149,11 @@ def surface_kind(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("kind", F.when(k("a") == k("b"), "surface").otherwise("semantic"))
 
 
+def positives(names: DataFrame) -> DataFrame:
+    """(name, canonical): the distinct pairs of a name and another canonical name."""
+    return names.where("name <> canonical").select("name", "canonical").distinct()
+
+
 def hard_negatives(names: DataFrame, cap: int, prefix: int = 2) -> DataFrame:
     """(a, b): names (name, canonical) with the same beginning but another canonical name, at most ``cap``, in order."""
     n = names.select("name", "canonical", F.lower(T.surface_key("name")).substr(1, prefix).alias("pre")).distinct()

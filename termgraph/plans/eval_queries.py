@@ -178,6 +178,14 @@ def hard_negatives(spark: S, d: str) -> DataFrame:
     return evaluation.hard_negatives(table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("canonical")), 500)
 
 
+@query("""WITH n AS (SELECT DISTINCT p_name AS name, p_brand AS canonical, substr(lower(replace(p_name, ' ', '')), 1, 2) AS pre FROM part)
+SELECT x.name AS a, y.name AS b FROM n x JOIN n y ON x.pre = y.pre AND x.name < y.name AND x.canonical <> y.canonical ORDER BY 1, 2 LIMIT (SELECT count(*) FROM n WHERE name <> canonical)""")
+def hard_negatives_balanced(spark: S, d: str) -> DataFrame:
+    """EVA-15: as many pairs as the same table has positives (a name and its other canonical name)."""
+    names = table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("canonical"))
+    return evaluation.hard_negatives(names, evaluation.positives(names).count())
+
+
 @query("SELECT doc_id, CASE WHEN (row_number() OVER (ORDER BY doc_id) - 1) % 4 = 0 THEN 'dev' ELSE 'test' END AS split FROM labels")
 def dev_split(spark: S, d: str) -> DataFrame:
     """EVA-16, PREP-7."""

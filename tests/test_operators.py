@@ -306,3 +306,12 @@ def test_chunks_cover_the_text(spark):
     rows = readers.chunks_of(docs, max_chars=300).orderBy("chunk_seq").collect()
     assert {r.doc_id for r in rows} == {"1"} and "".join(r.chunk_text for r in rows) == "ab" * 1000
     assert nouns.routed(docs, text="text").count() == 1
+
+
+def test_hard_negatives_follow_the_positives(spark):
+    from termgraph.plans import queries
+
+    for n in (40, 80):
+        folder = spark.conf.get("spark.checkpoint.dir") + f"/negatives-{n}"
+        spark.createDataFrame([(f"ab{i:03}", f"B{i}") for i in range(n)], "p_name string, p_brand string").write.parquet(folder + "/part.parquet")
+        assert queries()["hard_negatives_balanced"](spark, folder).count() == n
