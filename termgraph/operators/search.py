@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,5 +92,40 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     return scored.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc_nulls_last("similarity"), "id"))).where(F.col("place") <= k)
 
 
+def nearest_of_every(vectors: DataFrame, k: int = 10, block: int = 2048) -> DataFrame:
+    """(q, id, similarity, place): like ``nearest`` with every vector (id, vec) as a query, by products of blocks of about ``block`` vectors."""
+    n = max(1, -(-vectors.count() // block))
+    v = vectors.select("id", "vec", F.expr(f"CAST(pmod(hash(id), {n}) AS INT)").alias("_b"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # own names on each side: columns of one table aren't told apart in a cogroup
+    left = v.select(F.col("id").alias("q"), F.col("vec").alias("qvec"), F.col("_b").alias("qb"), every.alias("vb"))
+    right = v.select(F.col("id").alias("key"), F.col("vec").alias("kvec"), every.alias("ob"), F.col("_b").alias("kb"))
+    kind = vectors.schema["id"].dataType.simpleString()
+
+    def unit(vecs: pd.Series) -> np.ndarray:
+        width = max((len(x) for x in vecs if x is not None), default=1)
+        m = np.stack([np.asarray(x, np.float64) if x is not None else np.full(width, np.nan) for x in vecs])
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"q": [], "id": [], "similarity": []})  # a block without vectors comes without columns
+        b = b.sort_values("key", kind="stable", ignore_index=True)
+        s = np.round(unit(a["qvec"]) @ unit(b["kvec"]).T, 6)
+        s[np.isnan(s)] = -np.inf  # NULL comes last
+        least = min(k, len(b))
+        row, col = np.nonzero(s >= np.partition(s, len(b) - least, axis=1)[:, len(b) - least, None])
+        order = np.lexsort((col, -s[row, col], row))
+        row, col = row[order], col[order]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < least
+        row, col = row[first], col[first]
+        return pd.DataFrame({"q": a["q"].to_numpy()[row], "id": b["key"].to_numpy()[col], "similarity": s[row, col]})
+
+    found = left.groupBy("qb", "vb").cogroup(right.groupBy("ob", "kb")).applyInPandas(best, f"q {kind}, id {kind}, similarity double")
+    found = found.withColumn("similarity", F.when(F.col("similarity") >= -2, F.col("similarity")))
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc_nulls_last("similarity"), "id"))).where(F.col("place") <= k)
+
+
 def fetch(vectors: DataFrame, ids: DataFrame) -> DataFrame:
     return vectors.join(ids, "id", "left_semi")

@@ -290,6 +290,14 @@ def nearest_vectors(spark: S, d: str) -> DataFrame:
     return search.nearest(e.where("label = 0").select(F.col("id").alias("q"), "vec"), e, 10)
 
 
+@query(f"""WITH scored AS (SELECT a.vec_id AS q, b.vec_id AS id, round({_COS}, 6) AS similarity FROM embeddings a, embeddings b),
+placed AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY similarity DESC NULLS LAST, id) AS place FROM scored)
+SELECT q, id, similarity, CAST(place AS INT) AS place FROM placed WHERE place <= 10""")
+def nearest_of_every_vector(spark: S, d: str) -> DataFrame:
+    """SEA-4, DED-11: the ten nearest vectors of every vector, exact."""
+    return search.nearest_of_every(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), 10)
+
+
 @query("""WITH s AS (SELECT p_brand AS q, p_partkey AS id, CASE WHEN p_size % 5 <> 0 THEN p_retailprice END AS v, p_size / 50.0 AS k FROM part),
 r AS (SELECT *, min(v) OVER (PARTITION BY q) AS lo, max(v) OVER (PARTITION BY q) - min(v) OVER (PARTITION BY q) AS rng FROM s)
 SELECT q, id, round(0.7 * coalesce((v - lo) / nullif(rng, 0), k) + 0.3 * k, 6) AS score FROM r""")

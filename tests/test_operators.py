@@ -315,3 +315,23 @@ def test_hard_negatives_follow_the_positives(spark):
         folder = spark.conf.get("spark.checkpoint.dir") + f"/negatives-{n}"
         spark.createDataFrame([(f"ab{i:03}", f"B{i}") for i in range(n)], "p_name string, p_brand string").write.parquet(folder + "/part.parquet")
         assert queries()["hard_negatives_balanced"](spark, folder).count() == n
+
+
+def test_every_vector_gets_its_nearest(spark):
+    rng = random.Random(5)
+    vecs = [[rng.choice((-1.0, 0.0, 1.0, 2.0)) for _ in range(6)] for _ in range(60)] + [[0.0] * 6, None]
+    df = spark.createDataFrame(list(enumerate(vecs)), "id long, vec array<double>")
+
+    def cos(a, b):
+        if a is None or b is None or not any(a) or not any(b):
+            return None
+        return round(sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) ** 0.5 * sum(y * y for y in b) ** 0.5), 6)
+
+    want = {}
+    for q, a in enumerate(vecs):
+        scored = sorted(((cos(a, b), i) for i, b in enumerate(vecs)), key=lambda x: (x[0] is None, -(x[0] or 0.0), x[1]))
+        want[q] = [(i, s) for s, i in scored[:5]]
+    got = {}
+    for r in sorted(search.nearest_of_every(df, 5, block=13).collect(), key=lambda r: (r.q, r.place)):
+        got.setdefault(r.q, []).append((r.id, None if r.similarity is None else round(r.similarity, 6)))
+    assert got == want
