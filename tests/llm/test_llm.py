@@ -443,34 +443,139 @@ def test_templates_find_the_content(spark):
         assert "Welcome" not in shown and "rights" not in shown and "x(" not in shown
 
 
-def test_classes_are_those_of_equal_vectors(spark):
-    pages, _ = site(12, random.Random(13))
-    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+def brute_template(pages, least=3, support=0.5):
+    """The template of one host's pages, by whole occurrence vectors: [(tags, words)] of the valid classes, largest support first; and the slots."""
+    read = [list(html_template.tokens(h)) for h in pages]
+    vectors, is_tag = {}, {}
+    for i, ts in enumerate(read):
+        for t in ts:
+            vectors.setdefault(t[0], [0] * len(pages))[i] += 1
+            is_tag[t[0]] = t[1]
+    by = {}
+    for role, v in vectors.items():
+        if sum(x > 0 for x in v) >= max(least, support * len(pages)):
+            by.setdefault(tuple(v), []).append(role)
+    classes = [(sum(x > 0 for x in v), sorted(html_template._signed(r) for r in rs if is_tag[r]), {r for r in rs if not is_tag[r]}) for v, rs in by.items()]
+    classes = sorted((c for c in classes if c[1]), key=lambda c: (c[0], len(c[1]), c[1]), reverse=True)
+    classes = [c for c in classes if len(c[1]) + len(c[2]) > 1]
+    owner = {r & html_template._M: i for i, c in enumerate(classes) for r in [*c[1], *c[2]]}
+    k = [len(c[1]) for c in classes]
+    bad, gap_seqs = set(), {}
+    for ts in read:
+        seqs, spans = {}, []
+        for at, t in enumerate(ts):
+            if t[0] in owner:
+                seqs.setdefault(owner[t[0]], []).append((t[0], t[1], at))
+        for c, seq in seqs.items():
+            tags = [r for r, tag, _ in seq if tag]
+            want = next((p for p in gap_seqs.get((c, -1), [])), None) or tags[: k[c]]
+            gap_seqs.setdefault((c, -1), []).append(tags[: k[c]])
+            if tags != want * (len(tags) // k[c]):
+                bad.add(c)
+                continue
+            at = [x for _, tag, x in seq if tag]
+            if k[c] > 1:
+                spans += [(at[i], at[i + k[c] - 1], c) for i in range(0, len(at), k[c])]
+            n, words = 0, {}
+            for r, tag, _ in seq:
+                if tag:
+                    n += 1
+                else:
+                    words.setdefault(n % k[c], {}).setdefault(n // k[c] if n % k[c] else 0, []).append(r)
+            for g, turns in words.items():
+                ok = not g or len(turns) == len(at) // k[c]
+                gap_seqs.setdefault((c, g), []).extend([*turns.values()] + ([] if ok else [None]))
+                gap_seqs.setdefault((c, g, "pages"), []).append(1)
+        for x, y, c in spans:
+            for x2, y2, c2 in spans:
+                if x < x2 <= y < y2:
+                    bad.add(max(c, c2))
+    valid = {}
+    for i, (n, tags, words) in enumerate(classes):
+        if i not in bad:
+            good = {g[1]: v[0] for g, v in gap_seqs.items() if len(g) == 2 and g[0] == i and g[1] >= 0 and all(x == v[0] for x in v) and len(gap_seqs[(*g, "pages")]) == n}
+            if len(tags) + sum(len(set(v)) for v in good.values()) > 1:
+                valid[i] = good
+    slots, root = [], min(valid, default=None)
+    for ts in read:
+        out, name, outer, met = [], "0", "", {}
+        for role, tag, text, breaks, _ in ts:
+            c = owner.get(role)
+            if c in valid and (tag or role in valid[c].get(met.get(c, 0) % k[c], [])):
+                met[c] = met.get(c, 0) + tag
+                gap = f"{c}.{(met.get(c, 0) - 1) % k[c] + 1}"
+                outer = gap if c == root else outer
+                name = gap if c == root else f"{outer}/{gap}"
+                out.append(None)
+            elif text:
+                out.append((name, text))
+        joined, last = [], None
+        for o in out:
+            if o is not None and last is not None and last == o[0]:
+                joined[-1] = (o[0], joined[-1][1] + " " + o[1])
+            elif o is not None:
+                joined.append(o)
+            last = o and o[0]
+        slots.append([(n, html_template.entities.unescape(t)) for n, t in joined])
+    return {i: (sorted(classes[i][1]), {g: v for g, v in good.items()}) for i, good in valid.items()}, slots
+
+
+def wild_site(n, rng):
+    """Pages with shared words in changing order, records that repeat, tags that cross and optional parts."""
+    pages = []
+    for i in range(n):
+        rows = "".join(f"<li><b>Price: {rng.choice(WORDS)}</b><i>per</i> kilo {sentence(rng, 2)}</li>" for _ in range(rng.randrange(1, 4)))
+        head = rng.sample(["Home", "News", "About"], 3) if i % 2 else ["Home", "News", "About"]
+        cross = "<u>x<s>y</u>z</s>" if i % 3 else "<u>x</u><s>y</s>"
+        extra = f"<aside><em>See also</em> {sentence(rng, 2)}</aside>" if rng.random() < 0.7 else ""
+        pages.append(f"<html><body><div>{' '.join(head)}</div><h1>{sentence(rng, 3)}</h1>{cross}<ul>{rows}</ul>{extra}<p>{sentence(rng, rng.randrange(1, 12))}</p><footer>All rights reserved &amp; kept</footer></body></html>")
+    return pages
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_template_and_slots_against_whole_vectors(spark, seed):
+    rng = random.Random(seed)
+    pages = wild_site(14, rng)
+    df = spark.createDataFrame([(i, f"https://h.org/{i}", h) for i, h in enumerate(pages)], "page_id long, url string, html string").repartition(3)
+    want, slots = brute_template(pages)
     keyed = df.select(F.col("page_id").alias("page"), html_template.host_of().alias("host"), "html")
-    count = {}
-    for i, _, h in pages:
-        for t in html_template.tokens(h):
-            count.setdefault(t[0], [0] * 12)[i] += 1
-    by_vector = {}
-    for role, v in count.items():
-        if sum(x > 0 for x in v) >= 6:
-            by_vector.setdefault(tuple(v), set()).add(role)
-    want = sorted(sorted(html_template._signed(r) for r in s) for s in by_vector.values() if len(s) > 1)
-    hosts = keyed.groupBy("host").agg(F.count("*").alias("n"))
-    got = html_template.candidate_classes(html_template.occurrence_vectors(keyed.repartition(5)), hosts, 3, 0.5).collect()
-    assert sorted(sorted(m.role for m in c.m) for c in got[0].classes) == want
+    row = html_template.deduced(keyed, keyed.groupBy("host").agg(F.count("*").alias("n"))).first()
+    t = html_template.template_of([c.asDict(True) for c in row.classes], [m.asDict() for m in row.marks])
+    got = {c: (sorted(html_template._signed(r) for r, (o, tag) in t.roles.items() if o == c and tag), {g for o, g in t.gaps if o == c}) for c in t.order}
+    assert want and any(g for _, g in want.values())
+    assert sorted(got.values(), key=str) == sorted(((tags, set(g)) for tags, g in want.values()), key=str)
+    plain = lambda own: [(n.split("/")[-1].split(".")[-1], t.replace("\n", " ")) for n, t in own]
+    out = {r.page_id: [(s.slot, s.text) for s in r.slots] for r in html_template.extract(df).collect()}
+    for i, own in enumerate(slots):
+        assert plain(out[i]) == plain(own), i
 
 
 def test_crossing_classes_are_dropped():
     page = "<div><i>a</i><u>b<b>c</u>d</b></div>"
     roles = [t[0] for t in html_template.tokens(page)]
     tags = [r for r, t in zip(roles, html_template.tokens(page)) if t[1]]
-    cls = lambda rs: {"pages": 3, "n": len(rs), "m": [{"role": r, "tag": True} for r in rs]}
-    classes = [cls([tags[0], tags[-1]]), cls([tags[3], tags[5]]), cls([tags[4], tags[6]])]
-    marks = html_template.page_marks(page, html_template._owners(classes), classes)
+    classes = [{"pages": 3, "tags": rs, "words": []} for rs in ([tags[0], tags[-1]], [tags[3], tags[5]], [tags[4], tags[6]])]
+    marks = html_template.page_marks(page, html_template._owners(classes), set())
     assert {m[0] for m in marks if m[3]} == {2}
 
 
+@pytest.mark.parametrize("part", ["<a ", "<script ", "<!-- ", "<div>", "</b>", "< ", "<div></p>", "<a class=\"", "</script", "<!"])
+def test_broken_markup_is_read_in_linear_time(part):
+    import time
+
+    began = time.time()
+    page = part * ((1 << 20) // len(part))
+    n = sum(1 for _ in html_template.tokens(page)) + sum(1 for _ in html_template.tokens(page + ">"))
+    assert n and time.time() - began < 20
+
+
+def test_pieces_are_those_of_one_pattern():
+    rng = random.Random(15)
+    for _ in range(3000):
+        page = "".join(rng.choice(["<a>", "<", ">", "x ", "<!--", "-->", "<script>", "</script>", "<script", "</b>", "<!d>", "-"]) for _ in range(rng.randrange(12)))
+        assert [p for p, _ in html_template.pieces(page)] == [m.group() for m in html_template._PIECE.finditer(page)], page
+
+
 def test_template_cases(spark):
     pages, _ = site(6, random.Random(14))
     rows = pages + [(100, None, None), (100, None, None), (101, "https://one.org/x", "<p>Only &amp; page"), (102, "nonsense", ""), (None, None, None), (103, "https://www.a.org/z", "<p>long " + "word " * 30_000)]
@@ -480,7 +585,7 @@ def test_template_cases(spark):
     one = next(r for r in out if r.page_id == 101)
     assert one.main_text == "Only & page" and [s.slot for s in one.slots] == ["all"] and one.template_tokens == 0
     assert all(r.slots == [] and r.main_text == "" for r in out if r.page_id in (100, 102))
-    shuffled = html_template.extract(df, broadcast_rows=0).collect()
+    shuffled = html_template.extract(df, broadcast_bytes=0).collect()
     key = lambda r: (str(r.page_id), r.main_text)
     assert sorted(map(key, shuffled)) == sorted(map(key, out))
     assert html_template.extract(df.where("false")).count() == 0
