@@ -317,7 +317,7 @@ def test_toxicity_cases(spark, odd, none):
 # 7 exact dedup
 
 
-@pytest.mark.parametrize("max_bytes", [512 << 20, 1 << 16])
+@pytest.mark.parametrize("max_bytes", [512 << 20, 1 << 14])
 def test_exact_dedup_against_brute_force(spark, max_bytes):
     rng = random.Random(9)
     texts = [sentence(rng, 3) for _ in range(3000)]
@@ -330,18 +330,24 @@ def test_exact_dedup_against_brute_force(spark, max_bytes):
     assert sorted(r.doc_id for r in out.collect()) == sorted(first.values())
 
 
-def test_bloom_planes_find_every_repeat_and_few_others(spark):
+@pytest.mark.parametrize("segments", [1, 2, 8])
+def test_bloom_segments_find_every_repeat_and_few_others(spark, segments):
     rng = np.random.default_rng(10)
-    h = rng.integers(-(1 << 62), 1 << 62, 20_000)
-    both = np.concatenate([h, h[:300]])
+    per = (1 << exact_dedup.SEGMENT_BITS) // exact_dedup.CELLS_PER_ROW
+    h = rng.integers(-(1 << 62), 1 << 62, per * segments - 400)
+    both = np.concatenate([h, h[:300], np.full(100, h[0])])
     bits = exact_dedup.filter_bits(len(both))
-    plane = np.zeros(1 << (bits - 3), np.uint8)
-    width = 1 << (exact_dedup.SEGMENT_BITS - 3)
-    for r in exact_dedup.repeated_plane(spark.createDataFrame([(int(x),) for x in both], "h long"), bits).collect():
-        plane[r.segment * width : (r.segment + 1) * width] = np.frombuffer(r.plane, np.uint8)
-    cells = exact_dedup._cells(h.view(np.uint64), bits)
-    hit = ((plane[cells >> np.uint64(3)] >> (7 - (cells & np.uint64(7))).astype(np.uint8)) & 1).all(axis=1)
-    assert hit[:300].all() and hit[300:].mean() < 0.02
+    assert bits == exact_dedup.SEGMENT_BITS + segments.bit_length() - 1
+    import pandas as pd
+
+    found = exact_dedup.repeated(spark.createDataFrame(pd.DataFrame({"h": both})).repartition(5), bits).persist()
+    got = np.concatenate([np.frombuffer(r.hashes, np.uint64) for r in found.collect()])
+    mixed = exact_dedup.mix(h.view(np.uint64))
+    hit = np.isin(mixed, got)
+    assert len(np.unique(got)) == len(got) and hit[:300].all() and hit[300:].mean() < 0.02
+    for second in (exact_dedup.SEGMENT_BITS, exact_dedup.SEGMENT_BITS + 2):
+        test = exact_dedup.passes(mixed, exact_dedup.second_filter(found, second), second)
+        assert test[hit].all() and test[~hit].mean() < 0.02
 
 
 def test_exact_dedup_cases(odd, none):
