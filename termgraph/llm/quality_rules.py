@@ -11,10 +11,10 @@ Words are runs between blanks; a word counts as having letters by Unicode class,
 words (Han, kana, Thai, Lao, Tibetan, Burmese, Khmer): words with such characters are left out where word length is judged, and each such
 character counts as a word where symbols are compared with words.
 
-All of it is JVM-side.  The host table has a row a host: it is written once and its
-size is checked before it is broadcast; a larger one is joined by shuffle.
+All of it is JVM-side.  A text is measured once: its two bit masks are written with the row, the host table comes of the masks
+alone, and its bytes are checked before it is broadcast; a larger one is joined by a shuffle that salts hosts with many rows.
 
-Defined cases: a NULL text fails ``no_text`` and is rejected; an empty or blank one
+Defined cases: ids and hosts of any type (ids play no part); a NULL text fails ``no_text`` and is rejected; an empty or blank one
 likewise; a NULL host counts as a host of its own; repeated rows are judged one by
 one; an empty table gives an empty table; other columns are kept whatever their names.
 """
@@ -24,12 +24,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termgraph.llm.lookup import BROADCAST_BYTES, lookup
 from termgraph.storage import fresh_name, materialise
 
 SYMBOLS = "#$%&*|~^{}<>"
 RULES = ("symbols", "upper", "repeats", "nonalpha", "lines", "length")
 HOST_LIMIT = 0.5
-BROADCAST_HOSTS = 200_000
 _WORD = "[^ \\t\\r\\n]+"
 #: scripts that don't part words by blanks
 _UNSPACED = "\\u0E00-\\u109F\\u1780-\\u17FF\\u3040-\\u30FF\\u31F0-\\u31FF\\u3400-\\u4DBF\\u4E00-\\u9FFF\\uF900-\\uFAFF\\uFF66-\\uFF9F\\x{20000}-\\x{3FFFF}"
@@ -37,32 +37,28 @@ _UNSPACED = "\\u0E00-\\u109F\\u1780-\\u17FF\\u3040-\\u30FF\\u31F0-\\u31FF\\u3400
 
 def measures(text: Column) -> dict[str, Column]:
     """Counts that the rules compare; every one is a built-in expression."""
-    removed = text
-    for s in SYMBOLS:
-        removed = F.replace(removed, F.lit(s), F.lit(""))
     parts = F.split(text, "[ \\t\\r\\n]+", -1)
     lines = F.split(text, "\n", -1)
+    words = F.size(parts) - (F.element_at(parts, 1) == "").cast("int") - (F.element_at(parts, -1) == "").cast("int")
     # from a word's start, without going back: linear on any word
     spaced = F.regexp_replace(text, f"(?<![^ \\t\\r\\n])[^ \\t\\r\\n{_UNSPACED}]*+[{_UNSPACED}][^ \\t\\r\\n]*+[ \\t\\r\\n]*+", "")
-    other = F.struct(
-        (F.regexp_count(text, F.lit(_WORD)) + F.regexp_count(text, F.lit(f"[{_UNSPACED}]"))).alias("units"), F.length(spaced).alias("spaced_chars"), F.regexp_count(spaced, F.lit(_WORD)).alias("spaced_words")
-    )
+    other = F.struct((words + F.regexp_count(text, F.lit(f"[{_UNSPACED}]"))).alias("units"), F.length(spaced).alias("spaced_chars"), F.regexp_count(spaced, F.lit(_WORD)).alias("spaced_words"))
     return {
         "chars": F.length(text),
-        "words": F.regexp_count(text, F.lit(_WORD)),
-        "symbols": F.length(text) - F.length(removed),
+        "words": words,
+        "symbols": F.regexp_count(text, F.lit("[" + "".join("\\" + s for s in SYMBOLS) + "]")),
         "upper": F.regexp_count(text, F.lit("\\p{Lu}")),
         # words less those without a letter; that pattern begins at a word's start and never goes back, so that it is linear on any word
-        "alpha": F.regexp_count(text, F.lit(_WORD)) - F.regexp_count(text, F.lit("(?<![^ \\t\\r\\n])[^ \\t\\r\\n\\p{L}]++(?![^ \\t\\r\\n])")),
+        "alpha": words - F.regexp_count(text, F.lit("(?<![^ \\t\\r\\n])[^ \\t\\r\\n\\p{L}]++(?![^ \\t\\r\\n])")),
         "kinds": F.size(F.array_distinct(parts)),
         "lines": F.size(lines),
         "line_kinds": F.size(F.array_distinct(lines)),
         # NULL, after one scan, for a text that can't have such a script
-        "other": F.when(F.regexp_like(text, F.lit("[\\u0E00-\\x{3FFFF}]")), other),
+        "other": F.when((F.octet_length(text) > F.length(text)) & F.regexp_like(text, F.lit("[\\u0E00-\\x{3FFFF}]")), other),
     }
 
 
-#: rule -> (soft, hard): conditions over the measures, the same text for Spark and for the SQL check
+#: rule -> (soft, hard): conditions over the measures
 LIMITS = {
     "symbols": ("symbols * 10 > words", "symbols * 10 > words * 3"),
     "upper": ("upper * 4 > chars AND words >= 5", "upper * 5 > chars * 2 AND words >= 5"),
@@ -78,22 +74,23 @@ MEANT = {"symbols": {"words": "units"}, "length": {"chars": "spaced_chars", "wor
 
 def flags(docs: DataFrame, text: str, soft: str, hard: str) -> DataFrame:
     """``docs`` with two bit masks: bit i is rule i of RULES, the next one ``no_text``."""
-    m = fresh_name(docs, "measures")
     filled = F.length(F.trim(F.regexp_replace(F.substring(text, 1, 1 << 30), "[\\t\\r\\n]", " "))) > 0
-    # a generator of one row: a filter on the masks isn't moved below it, where each rule would measure the text again
-    out = docs.withColumn(m, F.explode(F.array(F.when(filled, F.struct(*[c.alias(k) for k, c in measures(F.col(text)).items()])))))
+    own = {k: fresh_name(docs, f"m_{k}") for k in ("chars", "words", "symbols", "upper", "alpha", "kinds", "lines", "line_kinds", "other")}
+    has = fresh_name(docs, "m_filled")
+    # columns of their own: each is measured once, however many limits read it
+    out = docs.withColumns({has: F.coalesce(filled, F.lit(False)), **{own[k]: c for k, c in measures(F.col(text)).items()}})
 
     def mask(which: int) -> Column:
         bits = F.lit(0)
         for i, rule in enumerate(RULES):
             cond = LIMITS[rule][which]
             for k in ("line_kinds", "symbols", "upper", "kinds", "alpha", "words", "chars", "lines"):
-                own = MEANT.get(rule, {}).get(k)
-                cond = _field(cond, k, f"coalesce(`{m}`.other.{own},`{m}`.{k})" if own else f"`{m}`.{k}")
+                meant = MEANT.get(rule, {}).get(k)
+                cond = _field(cond, k, f"coalesce(`{own['other']}`.{meant},`{own[k]}`)" if meant else f"`{own[k]}`")
             bits = bits + F.when(F.expr(cond), 1 << i).otherwise(0)
-        return F.when(F.col(m).isNull(), F.lit(1 << len(RULES))).otherwise(bits)
+        return F.when(~F.col(has), F.lit(1 << len(RULES))).otherwise(bits)
 
-    return out.withColumns({soft: mask(0), hard: mask(1)}).drop(m)
+    return out.withColumns({soft: mask(0), hard: mask(1)}).drop(has, *own.values())
 
 
 def _field(condition: str, name: str, field: str) -> str:
@@ -115,40 +112,60 @@ def host_rates(flagged: DataFrame, host: str, soft: str) -> DataFrame:
     return counts.crossJoin(F.broadcast(prior)).select("host", "host_docs", *shrunk)
 
 
-def judged(docs: DataFrame, text: str = "text", host: str = "source", host_limit: float = HOST_LIMIT, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
-    """``docs`` with ``soft``, ``hard``, ``host_docs``, ``host_bad`` (bit masks of rules) and ``keep``.
+def _names(docs: DataFrame) -> dict[str, str]:
+    return {n: fresh_name(docs, n) for n in ("soft", "hard", "host_docs", "host_bad", "keep")}
 
-    Names that ``docs`` has already get leading underscores."""
-    names = {}
-    for n in ("soft", "hard", "host_docs", "host_bad", "keep"):
-        names[n] = fresh_name(docs, n)
-    flagged = flags(docs, text, names["soft"], names["hard"])
+
+def _verdicts(flagged: DataFrame, names: dict[str, str], host: str, host_limit: float, broadcast_bytes: int, only_bad: bool) -> DataFrame:
+    """Rows with masks (a written table) -> the same with ``host_docs``, ``host_bad`` and ``keep``; with ``only_bad`` host_docs is NULL at
+    hosts without a bad rule, which aren't looked up."""
     rates = host_rates(flagged, host, names["soft"])
     bad = F.lit(0)
     for i, r in enumerate(RULES):
         bad = bad + F.when(F.col(f"rate_{r}") > host_limit, 1 << i).otherwise(0)
-    key = fresh_name(docs, "host_key")
-    hosts = materialise(rates.select(F.col("host").alias(key), F.col("host_docs").alias(names["host_docs"]), bad.alias(names["host_bad"])), "hosts")
-    if hosts.count() <= broadcast_hosts:
-        hosts = F.broadcast(hosts)
-    out = flagged.join(hosts, F.col(host).eqNullSafe(F.col(key)), "left").drop(key)
+    none, key, place = (fresh_name(flagged, n) for n in ("host_none", "host_key", "host_spread"))
+    keys = {none: F.col("host").isNull(), key: F.coalesce(F.col("host").cast("string"), F.lit(""))}
+    hosts = materialise(rates.select("host_docs", bad.alias("bad"), *[c.alias(k) for k, c in keys.items()]), "hosts")
+    table = hosts.select(none, key, F.col("host_docs").alias(names["host_docs"]), F.col("bad").alias(names["host_bad"]))
+    rows = flagged.withColumns({none: F.col(host).isNull(), key: F.coalesce(F.col(host).cast("string"), F.lit("")), place: F.monotonically_increasing_id()})
+    out = lookup(rows, table.where(F.col(names["host_bad"]) != 0) if only_bad else table, hosts.select(none, key, F.col("host_docs").alias("n")), [none, key], place, "left", broadcast_bytes)
+    out = out.withColumn(names["host_bad"], F.coalesce(F.col(names["host_bad"]), F.lit(0)))
     condemned = (F.col(names["hard"]) != 0) | (F.col(names["soft"]).bitwiseAND(F.col(names["host_bad"])) != 0)
-    return out.withColumn(names["keep"], ~condemned)
+    return out.withColumn(names["keep"], ~condemned).select(*flagged.columns, names["host_docs"], names["host_bad"], names["keep"])
+
+
+def judged(docs: DataFrame, text: str = "text", host: str = "source", host_limit: float = HOST_LIMIT, broadcast_bytes: int = BROADCAST_BYTES, with_text: bool = True) -> DataFrame:
+    """``docs`` (without the text, if not ``with_text``) with ``soft``, ``hard``, ``host_docs``, ``host_bad`` (bit masks of rules) and ``keep``.
+
+    Names that ``docs`` has already get leading underscores."""
+    names = _names(docs)
+    flagged = flags(docs, text, names["soft"], names["hard"])
+    return _verdicts(materialise(flagged if with_text else flagged.drop(text), "flagged"), names, host, host_limit, broadcast_bytes, False)
 
 
-def keep_good(docs: DataFrame, text: str = "text", host: str = "source", host_limit: float = HOST_LIMIT) -> DataFrame:
+def keep_good(docs: DataFrame, text: str = "text", host: str = "source", host_limit: float = HOST_LIMIT, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``docs`` without the rejected ones, columns as they were."""
-    out = judged(docs, text, host, host_limit)
-    return out.where(F.col(out.columns[-1])).select(*docs.columns)
+    names = _names(docs)
+    flagged = flags(docs, text, names["soft"], names["hard"])
+    # a text beyond a hard limit is rejected whatever its host: only its masks are needed from here on
+    held = materialise(flagged.withColumn(text, F.when(F.col(names["hard"]) == 0, F.col(text))), "flagged")
+    return _verdicts(held, names, host, host_limit, broadcast_bytes, True).where(F.col(names["keep"])).select(*docs.columns)
+
+
+#: the limits once more, as the SQL check reads them: written down apart from LIMITS, so that a slip in one shows
+_SQL_LIMITS = {
+    "symbols": ("symbols > 0.1 * words", "symbols > 0.3 * words"),
+    "upper": ("words > 4 AND upper > chars / 4", "words > 4 AND upper > 0.4 * chars"),
+    "repeats": ("words > 19 AND kinds < 0.3 * words", "words > 19 AND kinds < words / 5"),
+    "nonalpha": ("words > 4 AND alpha < 0.75 * words", "words > 4 AND alpha < 0.6 * words"),
+    "lines": ("lines > 3 AND line_kinds < 0.7 * lines", "lines > 3 AND line_kinds < lines / 2"),
+    "length": ("words > 9 AND chars NOT BETWEEN 3 * words AND 12 * words", "words > 9 AND chars NOT BETWEEN 2.5 * words AND 20 * words"),
+}
 
 
 def _sql() -> str:
-    gone = "text"
-    for s in SYMBOLS:
-        gone = f"replace({gone}, '{s}', '')"
-
     def mask(which: int) -> str:
-        return "CASE WHEN blank THEN 64 ELSE " + " + ".join(f"CASE WHEN {LIMITS[r][which]} THEN {1 << i} ELSE 0 END" for i, r in enumerate(RULES)) + " END"
+        return "CASE WHEN blank THEN 64 ELSE " + " + ".join(f"CASE WHEN {_SQL_LIMITS[r][which]} THEN {1 << i} ELSE 0 END" for i, r in enumerate(RULES)) + " END"
 
     counts = ", ".join(f"sum((soft // {1 << i}) % 2) AS f_{r}" for i, r in enumerate(RULES))
     moments = ", ".join(f"avg(f_{r} / host_docs) AS m_{r}, var_pop(f_{r} / host_docs) AS v_{r}" for r in RULES)
@@ -157,8 +174,8 @@ def _sql() -> str:
     return f"""
 WITH measured AS (
   SELECT doc_id, source, text IS NULL OR NOT regexp_matches(text, '[^ \\t\\r\\n]') AS blank,
-    length(text) AS chars, len(regexp_extract_all(text, '[^ \\t\\r\\n]+')) AS words, length(text) - length({gone}) AS symbols,
-    len(regexp_extract_all(text, '[A-ZÀ-ÖØ-Þ]')) AS upper, len(regexp_extract_all(text, '[^ \\t\\r\\n]*[A-Za-zÀ-ÖØ-öø-ÿ][^ \\t\\r\\n]*')) AS alpha,
+    length(text) AS chars, len(regexp_extract_all(text, '[^ \\t\\r\\n]+')) AS words, len(regexp_extract_all(text, '[#$%&*|~^{{}}<>]')) AS symbols,
+    len(regexp_extract_all(text, '\\p{{Lu}}')) AS upper, len(regexp_extract_all(text, '[^ \\t\\r\\n]*\\p{{L}}[^ \\t\\r\\n]*')) AS alpha,
     len(list_distinct(regexp_split_to_array(text, '[ \\t\\r\\n]+'))) AS kinds, len(string_split(text, chr(10))) AS lines,
     len(list_distinct(string_split(text, chr(10)))) AS line_kinds
   FROM documents),

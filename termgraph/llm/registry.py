@@ -52,7 +52,7 @@ def op8_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return quality_rules.judged(docs).drop("text")
+    return quality_rules.judged(docs, with_text=False)
 
 
 def op10_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:

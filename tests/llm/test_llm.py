@@ -395,7 +395,7 @@ def test_host_verdicts_and_prior(spark):
     out = {r.doc_id: r for r in quality_rules.judged(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert all(out[i].keep for i in range(200)), "a soft failure at a clean host stays"
     assert all(out[1000 + i].keep == (i % 10 == 0) for i in range(200)), "at a bad host soft failures go and clean documents stay"
-    shuffled = quality_rules.judged(spark.createDataFrame(rows, "doc_id long, text string, source string"), broadcast_hosts=0)
+    shuffled = quality_rules.judged(spark.createDataFrame(rows, "doc_id long, text string, source string"), broadcast_bytes=0)
     assert {r.doc_id: r.keep for r in shuffled.collect()} == {k: r.keep for k, r in out.items()}
 
 
