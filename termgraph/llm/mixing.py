@@ -1,61 +1,71 @@
 """Language-model scoring by online logistic context mixing, in bits per byte.
 
-Halves.  The texts are parted in two by a hash of the text; a document is scored with the counts of the half that it isn't in, so that it
-isn't known from itself nor from its exact copies.
-
-Predictors.  For each order k in ``ORDERS`` the k bytes before a byte, hashed to 2**b slots, select a binary tree of
-255 nodes; a node predicts the next bit of the byte as the log-odds of that bit in the half.  The counts
-are gathered over every document: each task counts (slot, byte) pairs, sends those that occur, and they are merged
-apart by pieces of the table; a piece's byte counts add up to its nodes' counts.  So what moves follows the input, and the
-table that scoring holds has a fixed size (14 MB).
-
-Mixing.  The log-odds x_k of the predictors are combined as s = sum_k w[g, bit, k] x_k + d[bit, round(2 s')], where the gate g is
-the class of the byte before (letter or digit, blank, other ASCII, other), and d refines the mix s' by its own height.
-Weights and refinement begin alike for each document and follow the gradient of the coding cost online, after every
-``BLOCK`` bytes.  The score is the sum of -log2 p over all bits, over the whole text.
+Halves.  The rows are parted in two by a hash of all their columns; a document is scored with the counts of the half that it isn't in, so
+that it isn't known from itself.  A copy under another id is in the other half as often as not, and is then known.
+
+Predictors.  For each order k in ``ORDERS`` the k bytes before a byte, hashed to 60 bits, name a block of 15 nodes that
+predict the bits of its upper half, and, with that half, another block for the lower one; a node predicts by the log-odds of its bit in the
+half of the corpus.  The counts are gathered over every document: each task counts the (block, half byte) pairs that occur in
+its part and sends them once, by pieces of the hash; a piece's counts add up to its nodes' log-odds.  What is gathered grows with the corpus and is
+written to the shared folder, a row a piece.
+
+Table.  Scoring holds the blocks in one table with a check byte for each (a context that isn't there predicts nothing).  The table
+takes at least two places a block, so it grows with the number of contexts met, up to ``max_bits`` (2**23 blocks of 16 bytes,
+128 MB, what a worker can hold).  From there on it takes the contexts that were seen most often.  A block may stand at its place or at the
+one beside it; of three that meet, those seen more often stay.
+
+Mixing.  The log-odds x_k of the predictors are combined as s = sum_k w[g, bit, k] x_k + d[bit, round(2 s')] + u[hash of three bytes and node],
+where the gate g is the class of the byte before (letter or digit, blank, other ASCII, other), d refines the mix s' by its own
+height and u is a predictor that learns from this document alone.  All three begin alike for each document and follow the gradient of the coding
+cost online: after every 16 bytes of the first 256, every 64 up to 4096, every 256 from there on.  The score is the sum of
+-log2 p over all bits, over the whole text.
 
 A document's score depends on its text and the corpus' counts alone: documents are only put side by side (``LANES``
 at a time) to be computed at once.
 
-Defined cases: a NULL or empty text has 0 bytes, 0 bits and NULL bits per byte; repeated rows get equal scores (and count
-twice in their half); where the other half has no text, nothing is known and the score is about 8 bits per byte; an empty table gives no rows; columns named as the new ones stay and the new ones get
-leading underscores.
+Defined cases: ids of any type; a NULL or empty text has 0 bytes, 0 bits and NULL bits per byte; repeated rows get equal scores (and count
+twice in their half); where the other half has no text, only the document itself is learnt from; an empty table gives no rows; columns named as the new ones stay and the new ones get
+leading underscores; columns of map type play no part in the halves.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from termgraph.llm.vectortext import buffers, runs
+from termgraph.llm.vectortext import buffers, mix, runs
 from termgraph.storage import fresh_name, materialise
 
-ORDERS = (1, 2, 3, 4)
-SLOT_BITS = (8, 12, 13, 14)
+ORDERS = (1, 2, 3, 4, 6)
 K = len(ORDERS)
-BLOCK = 256
-LANES = 32
+LANES = 128
+STEPS = ((256, 16), (4096, 64), (1 << 62, 256))  #: up to which place updates follow how many bytes
 GATES = 4
 BINS = 33
+OWN_BITS = 11  #: cells of a document's own predictor
 START = 0.3
 RATE = 0.002
 REFINE = 0.05
+LEARN = 0.1
 SCALE = 16.0  #: log-odds are kept in sixteenths, from -7.9 to 7.9
 PRIOR = 0.05
-_PIECE = 1 << 16
-_COUNT_BYTES = 4 << 20
+MAX_BITS = 23
+_COUNT_BYTES = 1 << 20
+_MERGE = 1 << 22
+_PIECE_BYTES = 64 << 20  #: text a piece
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_LOW = np.uint64(15)
 
 _BIT = (np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1
 _SIGN = (2 * _BIT - 1).astype(np.float32)
 _NODE = np.stack([(np.arange(256) | 256) >> (8 - b) for b in range(8)], axis=1)
+_PATH = np.stack([(np.arange(16) | 16) >> (4 - b) for b in range(4)], axis=1)
 _GATE = np.full(256, 2, np.int64)
 _GATE[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 0
 _GATE[[9, 10, 13, 32]] = 1
@@ -63,225 +73,279 @@ _GATE[128:] = 3
 
 
 def histories(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The last four bytes before each byte, the nearest lowest; 0 before a text's start."""
-    h = np.zeros(len(raw), np.uint32)
+    """The last bytes before each byte, as many as the longest order, the nearest lowest; 0 before a text's start."""
+    h = np.zeros(len(raw), np.uint64)
     for k in range(1, max(ORDERS) + 1):
-        before = np.zeros(len(raw), np.uint32)
+        before = np.zeros(len(raw), np.uint64)
         before[k:] = raw[:-k]
         for j in range(k):  # of these the k-th byte before belongs to another text
             before[starts[sizes > j] + j] = 0
-        h |= before << np.uint32(8 * (k - 1))
+        h |= before << np.uint64(8 * (k - 1))
     return h
 
 
-def slots(h: np.ndarray, order: int) -> np.ndarray:
-    """Slot of each history for one predictor."""
-    k, bits = ORDERS[order], SLOT_BITS[order]
-    own = h & np.uint32((1 << 8 * k) - 1) if k < 4 else h
-    if 8 * k <= bits:
-        return own.astype(np.int64)
-    return ((own * np.uint32(2654435761)) >> np.uint32(32 - bits)).astype(np.int64)
-
-
-def halves(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """0 or 1 for each text."""
-    data = memoryview(np.ascontiguousarray(raw))
-    return np.array([xxhash.xxh3_64_intdigest(data[a:b]) & 1 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], np.int64)
+def upper_keys(h: np.ndarray, half: np.ndarray, order: int) -> np.ndarray:
+    """Hash of the block that predicts the upper half of the byte after each history."""
+    own = h & np.uint64((1 << 8 * ORDERS[order]) - 1)
+    return mix(own * _ODD + (half.astype(np.uint64) + np.uint64(2 * order + 1)))
+
+
+def lower_keys(upper: np.ndarray, nibble: np.ndarray) -> np.ndarray:
+    """Hash of the block that predicts the lower half, once the upper one is known."""
+    x = (upper | _LOW) + (nibble.astype(np.uint64) + np.uint64(1)) * _ODD
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(29)
+    return x
+
+
+def summed(cells: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct cells in order, with the sums of their counts."""
+    order = np.argsort(cells, kind="stable")
+    cells, counts = cells[order], counts[order]
+    at = runs(cells)[:-1]
+    return (cells[at], np.add.reduceat(counts, at)) if len(at) else (cells, counts)
+
+
+def cells_of(raw: np.ndarray, offsets: np.ndarray, half: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Counts of the (block, half byte) pairs of some texts: a cell is a block's hash with the half byte as its last four bits."""
+    h, side = histories(raw, offsets[:-1], np.diff(offsets)), np.repeat(half, np.diff(offsets))
+    upper, lower = (raw >> 4).astype(np.uint64), (raw & 15).astype(np.uint64)
+    out = []
+    for k in range(K):
+        up = upper_keys(h, side, k)
+        for key, nibble in ((up, upper), (lower_keys(up, upper), lower)):
+            cells = (key & ~_LOW) | nibble
+            cells.sort()
+            at = runs(cells)
+            out.append((cells[at[:-1]], np.diff(at)))
+    return out
 
 
-def corpus_counts(texts: DataFrame) -> DataFrame:
-    """(order, piece, cells, counts) of one text column: each task's counts of (slot, byte), by pieces of the tables."""
+def corpus_counts(texts: DataFrame, piece_bits: int) -> DataFrame:
+    """(piece, cells, counts) from (text, half): each task's counts, by pieces of the hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = [np.zeros(2 << (b + 8), np.uint32) for b in SLOT_BITS]  # the second half's counts come after the first's
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
         for b in batches:
             data, offsets = buffers(b.column(0))
+            half = b.column(1).to_numpy(zero_copy_only=False)
             row = 0
             while row < len(offsets) - 1:
                 end = min(len(offsets) - 1, max(row + 1, int(np.searchsorted(offsets, offsets[row] + _COUNT_BYTES, "right")) - 1))
-                raw = data[offsets[row] : offsets[end]]
-                own = offsets[row : end + 1] - offsets[row]
-                h = histories(raw, own[:-1], np.diff(own))
-                half = np.repeat(halves(raw, own), np.diff(own))
-                for k in range(K):
-                    cell = (slots(h, k) + (half << SLOT_BITS[k])) * 256
-                    cell += raw
-                    total[k] += np.bincount(cell, minlength=len(total[k])).astype(np.uint32)
+                held += cells_of(data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row], half[row:end])
                 row = end
-        for k, t in enumerate(total):
-            cells = np.flatnonzero(t)
-            at = runs(cells // _PIECE)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(len(at) - 1, k, np.int32)),
-                    pa.array((cells[at[:-1]] // _PIECE).astype(np.int32)),
-                    pa.array([(cells[a:z] % _PIECE).astype(np.uint16).tobytes() for a, z in zip(at[:-1], at[1:])], pa.binary()),
-                    pa.array([t[cells[a:z]].tobytes() for a, z in zip(at[:-1], at[1:])], pa.binary()),
-                ],
-                names=["order", "piece", "cells", "counts"],
-            )
-
-    return texts.mapInArrow(run, "order int, piece int, cells binary, counts binary")
+                size = sum(len(c) for c, _ in held)
+                if size > _MERGE:
+                    held = [summed(*(np.concatenate(x) for x in zip(*held)))]
+                    if len(held[0][0]) > _MERGE // 2:  # distinct ones alone fill the room: send them
+                        yield _sent(*held.pop(), piece_bits)
+        if held:
+            yield _sent(*summed(*(np.concatenate(x) for x in zip(*held))), piece_bits)
+
+    return texts.mapInArrow(run, "piece int, cells binary, counts binary")
+
+
+def _sent(cells: np.ndarray, counts: np.ndarray, piece_bits: int) -> pa.RecordBatch:
+    piece = cells >> np.uint64(64 - piece_bits)
+    at = runs(piece)
+    few = counts.astype(np.uint32)
+    blobs = lambda a: pa.array([a[x:y].tobytes() for x, y in zip(at[:-1], at[1:])], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(piece[at[:-1]].astype(np.int32)), blobs(cells), blobs(few)], names=["piece", "cells", "counts"])
 
 
 def log_odds(counts: np.ndarray) -> np.ndarray:
-    """(slots, 256) int8 log-odds of the nodes (1 to 255) from (slots, 256) byte counts."""
+    """(blocks, 16) int8 log-odds of the nodes (1 to 15) from (blocks, 16) counts of half bytes."""
     out = np.zeros(counts.shape, np.int8)
-    level = counts.astype(np.float64)
-    for depth in range(7, -1, -1):
+    level = counts.astype(np.float32)
+    for depth in range(3, -1, -1):
         pairs = level.reshape(len(level), -1, 2)
-        odds = np.log((pairs[:, :, 1] + PRIOR) / (pairs[:, :, 0] + PRIOR))
+        odds = np.log((pairs[:, :, 1] + np.float32(PRIOR)) / (pairs[:, :, 0] + np.float32(PRIOR)))
         out[:, 1 << depth : 2 << depth] = np.rint(np.clip(odds * SCALE, -127, 127))
         level = pairs.sum(axis=2)
     return out
 
 
-def tables(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(order, piece, nodes): the predictors' log-odds over all of ``docs``."""
+def tag_of(keys: np.ndarray) -> np.ndarray:
+    """A block's check byte."""
+    return ((keys >> np.uint64(4)) & np.uint64(255)).astype(np.uint8).view(np.int8)
 
-    def merge(own: pd.DataFrame) -> pd.DataFrame:
-        cells = np.concatenate([np.frombuffer(c, np.uint16) for c in own["cells"]])
-        counts = np.concatenate([np.frombuffer(c, np.uint32) for c in own["counts"]])
-        sums = np.bincount(cells, weights=counts, minlength=_PIECE).reshape(-1, 256)
-        return pd.DataFrame({"order": own["order"].iloc[:1], "piece": own["piece"].iloc[:1], "nodes": [log_odds(sums).tobytes()]})
 
-    return corpus_counts(docs.select(text)).groupBy("order", "piece").applyInPandas(merge, "order int, piece int, nodes binary")
+def blocks_of(cells: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, (n, 16) check byte and nodes, how often seen up to 255) of the blocks of some distinct cells in order."""
+    block = cells >> np.uint64(4)
+    at = runs(block)
+    keys, nodes, seen = block[at[:-1]] << np.uint64(4), np.zeros((len(at) - 1, 16), np.int8), np.zeros(len(at) - 1, np.uint8)
+    for a in range(0, len(keys), 1 << 16):
+        z = min(a + (1 << 16), len(keys))
+        own = slice(at[a], at[z])
+        dense = np.zeros((z - a, 16), np.float32)
+        dense[np.repeat(np.arange(z - a), np.diff(at[a : z + 1])), (cells[own] & _LOW).astype(np.int64)] = counts[own]
+        nodes[a:z] = log_odds(dense)
+        seen[a:z] = np.minimum(dense.sum(axis=1), 255)
+    nodes[:, 0] = tag_of(keys)
+    return keys, nodes, seen
 
 
-def records(nodes: list[np.ndarray]) -> list[np.ndarray]:
-    """For each predictor, by slot*256+byte, the log-odds of the byte's eight bits as one 64-bit word."""
-    return [np.ascontiguousarray(n.reshape(-1, 256)[:, _NODE]).view(np.int64).ravel() for n in nodes]
+def blocks(docs: DataFrame, text: str, half: Column, piece_bits: int) -> DataFrame:
+    """(piece, keys, nodes, seen, many): the blocks of all of ``docs``; many[i] of them were seen i times (255: or more often)."""
 
+    def merge(own: pd.DataFrame) -> pd.DataFrame:
+        cells = np.concatenate([np.frombuffer(c, np.uint64) for c in own["cells"]])
+        counts = np.concatenate([np.frombuffer(c, np.uint32) for c in own["counts"]])
+        keys, nodes, seen = blocks_of(*summed(cells, counts.astype(np.int64)))
+        return pd.DataFrame({"piece": own["piece"].iloc[:1], "keys": [keys.tobytes()], "nodes": [nodes.tobytes()], "seen": [seen.tobytes()], "many": [np.bincount(seen, minlength=256).tolist()]})
+
+    sent = corpus_counts(docs.select(text, half.alias("_half")), piece_bits)
+    return sent.groupBy("piece").applyInPandas(merge, "piece int, keys binary, nodes binary, seen binary, many array<long>")
 
-def empty_nodes() -> list[np.ndarray]:
-    return [np.zeros(2 << (b + 8), np.int8) for b in SLOT_BITS]
 
+def table_of(found: DataFrame, max_bits: int = MAX_BITS, room: int = 2) -> tuple[np.ndarray, int]:
+    """(flat table of 2**bits blocks, bits) from written ``blocks``: ``room`` places a block, as far as ``max_bits`` allow."""
+    many = np.zeros(256, np.int64)
+    for r in found.select(F.posexplode("many").alias("n", "c")).groupBy("n").agg(F.sum("c").alias("c")).collect():
+        many[r.n] = r.c
+    most = np.cumsum(many[::-1])[::-1]  # blocks seen so often or more
+    least = int(np.argmax(most <= 1 << (max_bits - 1))) if (most <= 1 << (max_bits - 1)).any() else 255
+    bits = min(max_bits, max(10, int(room * max(1, most[least]) - 1).bit_length()))
 
-def bits_of(raw: np.ndarray, offsets: np.ndarray, recs: list[np.ndarray]) -> np.ndarray:
-    """Bits of each text."""
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for piece, keys, nodes, seen in zip(*(b.column(i).to_pylist() for i in range(4))):
+                often = np.frombuffer(seen, np.uint8)
+                pick = often >= least
+                cut = [np.frombuffer(keys, np.uint64)[pick].tobytes(), np.frombuffer(nodes, np.int8).reshape(-1, 16)[pick].tobytes(), often[pick].tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), *(pa.array([c], pa.binary()) for c in cut)], names=["piece", "keys", "nodes", "seen"])
+
+    table, count, owner = np.zeros((1 << bits, 16), np.int8), np.zeros(1 << bits, np.uint8), np.zeros(1 << bits, np.uint64)
+    rows = found.select("piece", "keys", "nodes", "seen").mapInArrow(chosen, "piece int, keys binary, nodes binary, seen binary").orderBy("piece")
+    for r in rows.toLocalIterator():
+        keys, nodes, seen = np.frombuffer(r["keys"], np.uint64), np.frombuffer(r.nodes, np.int8).reshape(-1, 16), np.frombuffer(r.seen, np.uint8)
+        order = np.argsort(seen, kind="stable")  # what was seen most often is written last
+        keys, nodes, seen = keys[order], nodes[order], seen[order]
+        for beside in (0, 1):
+            place = (keys >> np.uint64(64 - bits)).astype(np.int64) ^ beside
+            wins = count[place] == 0 if beside else seen > count[place]
+            table[place[wins]], count[place[wins]], owner[place[wins]] = nodes[wins], seen[wins], keys[wins]
+            lost = owner[place] != keys
+            keys, nodes, seen = keys[lost], nodes[lost], seen[lost]
+    return table.ravel(), bits
+
+
+def bits_of(raw: np.ndarray, offsets: np.ndarray, half: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
+    """Bits of each text, by the counts of the half that it isn't in."""
     sizes = np.diff(offsets)
     out = np.zeros(len(sizes))
     order = np.argsort(sizes, kind="stable")[::-1]
-    h, other = histories(raw, offsets[:-1], sizes), 1 - halves(raw, offsets)
-    room = _Room(LANES * BLOCK)
+    h, other = histories(raw, offsets[:-1], sizes), 1 - half
     for g in range(0, len(order), LANES):
         own = order[g : g + LANES]
         own = own[sizes[own] > 0]
         if len(own):
-            out[own] = _lanes(raw, h, other[own], offsets[own], sizes[own], recs, room)
+            out[own] = _lanes(raw, h, other[own], offsets[own], sizes[own], table, bits)
     return out
 
 
-class _Room:
-    """Arrays that every step of every group of lanes reuses: fresh ones of this size would be mapped anew each time."""
+def steps(longest: int) -> Iterator[tuple[int, int]]:
+    """(first byte, bytes) of the stretches between updates."""
+    at = 0
+    while at < longest:
+        width = next(n for end, n in STEPS if at < end)
+        yield at, min(width, longest - at)
+        at += width
+
 
-    def __init__(self, n: int):
-        f, i = np.float32, np.int64
-        self.x = np.empty((K, n, 8), f)
-        self.s, self.sign, self.u, self.more, self.error = (np.empty((n, 8), f) for _ in range(5))
-        self.bins, self.record = np.empty((n, 8), i), np.empty(n, i)
+def _look(table: np.ndarray, bits: int, keys: np.ndarray, nibble: np.ndarray, out: np.ndarray) -> None:
+    """Log-odds of the four bits of a half byte into ``out`` (n, 4); 0 where the context isn't in the table."""
+    block, tag = (keys >> np.uint64(64 - bits)).astype(np.int64) << 4, tag_of(keys)
+    block ^= (table[block] != tag).astype(np.int64) << 4
+    known = (table[block] == tag).astype(np.float32) * np.float32(1 / SCALE)
+    np.multiply(table[block[:, None] + _PATH[nibble]], known[:, None], out=out)
 
 
-def _lanes(raw: np.ndarray, h: np.ndarray, half: np.ndarray, starts: np.ndarray, sizes: np.ndarray, recs: list[np.ndarray], room: _Room) -> np.ndarray:
-    """Bits of some texts, longest first, one block of each at a time."""
+def _lanes(raw: np.ndarray, h: np.ndarray, half: np.ndarray, starts: np.ndarray, sizes: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
+    """Bits of some texts, longest first, one stretch of each at a time."""
     n = len(starts)
     weight = np.full((K, n * GATES, 8), START, np.float32)
-    refine = np.zeros(n * 8 * BINS, np.float32)
+    refine, own_odds = np.zeros(n * 8 * BINS, np.float32), np.zeros(n << OWN_BITS, np.float32)
     total = np.zeros(n)
     lane_bins = ((np.arange(8) * BINS)[None] + (np.arange(n) * 8 * BINS)[:, None])[:, None]
-    lane_gates = np.arange(n)[:, None] * GATES
     gates = np.arange(GATES)[:, None]
-    for at in range(0, int(sizes[0]), BLOCK):
+    room = np.empty((K, n * max(w for _, w in STEPS), 8), np.float32) if len(sizes) else None
+    for at, width in steps(int(sizes[0])):
         live = int(np.searchsorted(-sizes, -at, "left"))
-        width = min(BLOCK, int(sizes[0]) - at)
         m = live * width
-        s, sign, u, more, error, bins, record = (a[:m] for a in (room.s, room.sign, room.u, room.more, room.error, room.bins, room.record))
         step = np.arange(at, at + width)
         inside = step < sizes[:live, None]
         place = (np.minimum(step, sizes[:live, None] - 1) + starts[:live, None]).ravel()
-        byte, past = raw[place].astype(np.int64), h[place]
-        gate = _GATE[past & np.uint32(255)].reshape(live, width)
-        own = (lane_gates[:live] + gate).ravel()
+        byte, past, side = raw[place].astype(np.int64), h[place], np.repeat(half[:live], width)
+        upper, lower = byte >> 4, byte & 15
+        gate = _GATE[(past & np.uint64(255)).astype(np.int64)].reshape(live, width)
+        own = (np.arange(live)[:, None] * GATES + gate).ravel()
+        s = np.zeros((m, 8), np.float32)
         for k in range(K):  # predictors one by one, each in an array without gaps
-            x = room.x[k, :m]
-            cell = slots(past, k)
-            by_lane = cell.reshape(live, width)
-            by_lane += half[:live, None] << SLOT_BITS[k]
-            cell <<= 8
-            cell |= byte
-            np.take(recs[k], cell, out=record, mode="clip")
-            np.multiply(record.view(np.int8).reshape(m, 8), np.float32(1 / SCALE), out=x)
-            np.take(weight[k], own, axis=0, out=more if k else s, mode="clip")
-            if k:
-                more *= x
-                s += more
-            else:
-                s *= x
+            x = room[k, :m]
+            keys = upper_keys(past, side, k)
+            _look(table, bits, keys, upper, x[:, :4])
+            _look(table, bits, lower_keys(keys, upper), lower, x[:, 4:])
+            s += weight[k][own] * x
         np.clip(s, -8, 8, out=s)
-        np.multiply(s, 2, out=more)
-        more += np.float32(16.5)
-        np.copyto(bins, more, casting="unsafe")
+        bins = (s * 2 + np.float32(16.5)).astype(np.int64)
         wide = bins.reshape(live, width, 8)
         wide += lane_bins[:live]
-        np.take(refine, bins, out=more, mode="clip")
-        s += more
-        np.take(_SIGN, byte, axis=0, out=sign, mode="clip")
-        s *= sign
-        np.negative(s, out=s)
-        np.exp(s, out=u)
+        s += refine[bins]
+        cell = (((past & np.uint64(0xFFFFFF)) * np.uint64(0x9E3779B1)) >> np.uint64(9)).astype(np.int64)[:, None] ^ (_NODE[byte] * 73)
+        cell &= (1 << OWN_BITS) - 1
+        cells = cell.reshape(live, width * 8)
+        cells += (np.arange(live) << OWN_BITS)[:, None]
+        s += own_odds[cell]
+        sign = _SIGN[byte]
+        u = np.exp(-s * sign)
         if not inside[:, -1].all():
             u *= inside.reshape(m, 1)  # a padded byte costs nothing and teaches nothing
-        np.add(u, 1, out=s)
-        np.divide(u, s, out=error)
-        error *= sign
-        parts = s.reshape(live, 2, width * 4)
-        total[:live] += np.log2(parts[:, 0] * parts[:, 1]).sum(axis=1, dtype=np.float64)
+        more = u + 1
+        error = u / more * sign
+        total[:live] += np.log2(more).reshape(live, -1).sum(axis=1, dtype=np.float64)
         refine += np.float32(REFINE) * np.bincount(bins.ravel(), weights=error.ravel(), minlength=len(refine)).astype(np.float32)
+        own_odds[: live << OWN_BITS] += np.float32(LEARN) * np.bincount(cell.ravel(), weights=error.ravel(), minlength=live << OWN_BITS).astype(np.float32)
         one = (gate[:, None] == gates).astype(np.float32)
         for k in range(K):
-            x = room.x[k, :m]
+            x = room[k, :m]
             x *= error
             weight[k, : live * GATES] += np.float32(RATE) * np.matmul(one, x.reshape(live, width, 8)).reshape(live * GATES, 8)
     return total
 
 
-_ready: dict[str, list[np.ndarray]] = {}  #: the worker's expanded tables, by model
-
-
-def _records(name: str, pieces: list[tuple[int, int, bytes]]) -> list[np.ndarray]:
-    if name not in _ready:
-        _ready.clear()
-        _ready[name] = records(_model_nodes(pieces))
-    return _ready[name]
-
-
-def _model_nodes(pieces: list[tuple[int, int, bytes]]) -> list[np.ndarray]:
-    nodes = empty_nodes()
-    for order, piece, data in pieces:
-        nodes[order][piece * _PIECE : piece * _PIECE + len(data)] = np.frombuffer(data, np.int8)
-    return nodes
+def half_of(docs: DataFrame) -> Column:
+    """0 or 1 for each row."""
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    return F.xxhash64(*plain).bitwiseAND(1) if plain else F.lit(0).cast("long")
 
 
-def score(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, text: str = "text", keep: list[str] | None = None, max_bits: int = MAX_BITS, room: int = 2) -> DataFrame:
     """The columns ``keep`` (default: all but the text) with ``n_bytes``, ``bits`` and ``bits_per_byte``."""
     keep = [c for c in docs.columns if c != text] if keep is None else keep
-    pieces = [(r.order, r.piece, bytes(r.nodes)) for r in materialise(tables(docs, text), "mixing-tables").toLocalIterator()]
-    shared, model = docs.sparkSession.sparkContext.broadcast(pieces), uuid.uuid4().hex
+    size = docs.agg(F.sum(F.octet_length(text)).alias("b")).first().b or 0
+    half = half_of(docs)
+    table, bits = table_of(materialise(blocks(docs, text, half, max(4, (size // _PIECE_BYTES).bit_length() + 2)), "mixing-blocks"), max_bits, room)
+    shared = docs.sparkSession.sparkContext.broadcast(table)
     names = [fresh_name(docs.select(*keep), n) for n in ("n_bytes", "bits", "bits_per_byte")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recs = _records(model, shared.value)
+        own = shared.value
         for b in batches:
             data, offsets = buffers(b.column(len(keep)))
-            row, last, bits = 0, len(offsets) - 1, np.zeros(len(offsets) - 1)
+            half = b.column(len(keep) + 1).to_numpy(zero_copy_only=False)
+            row, last, found = 0, len(offsets) - 1, np.zeros(len(offsets) - 1)
             while row < last:
                 end = min(last, max(row + 1, int(np.searchsorted(offsets, offsets[row] + _COUNT_BYTES, "right")) - 1))
-                bits[row:end] = bits_of(data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row], recs)
+                found[row:end] = bits_of(data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row], half[row:end], own, bits)
                 row = end
-            size = np.diff(offsets)
+            each = np.diff(offsets)
             with np.errstate(invalid="ignore", divide="ignore"):
-                each = np.round(bits / size, 4)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(size), pa.array(np.round(bits, 1)), pa.array(each, mask=size == 0)], names=[*keep, *names])
+                rate = np.round(found / each, 4)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(each), pa.array(np.round(found, 1)), pa.array(rate, mask=each == 0)], names=[*keep, *names])
 
     new = [StructField(names[0], LongType()), StructField(names[1], DoubleType()), StructField(names[2], DoubleType())]
-    return docs.select(*keep, F.col(text)).mapInArrow(run, StructType([docs.schema[c] for c in keep] + new))
+    return docs.select(*keep, F.col(text), half.alias(fresh_name(docs, "half"))).mapInArrow(run, StructType([docs.schema[c] for c in keep] + new))

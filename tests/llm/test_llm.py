@@ -144,46 +144,72 @@ def test_bpe_cases(spark, odd, none):
 # 3 context mixing
 
 
-def slow_bits(data, recs):
-    """One bit after the other."""
-    other = 1 - int(mixing.halves(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0])
+def slow_bits(data, other, blocks):
+    """One bit after the other, from a dictionary of all blocks."""
     w = np.full((mixing.GATES, 8, mixing.K), mixing.START)
     d = np.zeros((8, mixing.BINS))
+    own = np.zeros(1 << mixing.OWN_BITS)
     total = 0.0
-    for at in range(0, len(data), mixing.BLOCK):
-        dw, dd = np.zeros_like(w), np.zeros_like(d)
-        for i in range(at, min(at + mixing.BLOCK, len(data))):
-            past = sum(data[i - k] << (8 * (k - 1)) for k in range(1, 5) if i >= k)
+    for at, width in mixing.steps(len(data)):
+        dw, dd, do = np.zeros_like(w), np.zeros_like(d), np.zeros_like(own)
+        for i in range(at, at + width):
+            past = sum(data[i - k] << (8 * (k - 1)) for k in range(1, 7) if i >= k)
             g = int(mixing._GATE[past & 255])
+            nodes = []
+            for k in range(mixing.K):
+                up = mixing.upper_keys(np.array([past], np.uint64), np.array([other]), k)
+                low = mixing.lower_keys(up, np.array([data[i] >> 4]))
+                nodes.append([blocks.get(int(x[0]) >> 4, [0] * 16) for x in (up, low)])
             for b in range(8):
                 bit = data[i] >> (7 - b) & 1
-                x = [recs[k][((other << mixing.SLOT_BITS[k]) + int(mixing.slots(np.array([past], np.uint32), k)[0])) * 256 + ((data[i] | 256) >> (8 - b))] / mixing.SCALE for k in range(mixing.K)]
+                nibble = data[i] >> 4 if b < 4 else data[i] & 15
+                x = [nodes[k][b // 4][(nibble | 16) >> (4 - b % 4)] / mixing.SCALE for k in range(mixing.K)]
                 s = max(-8.0, min(8.0, sum(w[g, b, k] * x[k] for k in range(mixing.K))))
                 bin_ = int(s * 2 + 16.5)
-                s += d[b, bin_]
+                cell = ((((past & 0xFFFFFF) * 0x9E3779B1) >> 9) ^ (((data[i] | 256) >> (8 - b)) * 73)) & ((1 << mixing.OWN_BITS) - 1)
+                s += d[b, bin_] + own[cell]
                 p = 1 / (1 + math.exp(-s))
                 total -= math.log2(p if bit else 1 - p)
                 dd[b, bin_] += bit - p
+                do[cell] += bit - p
                 for k in range(mixing.K):
                     dw[g, b, k] += (bit - p) * x[k]
         w += mixing.RATE * dw
         d += mixing.REFINE * dd
+        own += mixing.LEARN * do
     return total
 
 
+def counted_blocks(texts, halves):
+    """Block -> nodes, from counts made one byte after the other."""
+    count = {}
+    for t, half in zip(texts, halves):
+        data = (t or "").encode()
+        for i in range(len(data)):
+            past = sum(data[i - k] << (8 * (k - 1)) for k in range(1, 7) if i >= k)
+            for k in range(mixing.K):
+                up = mixing.upper_keys(np.array([past], np.uint64), np.array([half]), k)
+                low = mixing.lower_keys(up, np.array([data[i] >> 4]))
+                for key, nibble in ((up, data[i] >> 4), (low, data[i] & 15)):
+                    count.setdefault(int(key[0]) >> 4, np.zeros(16))[nibble] += 1
+    return {b: [0, *mixing.log_odds(c[None])[0][1:].tolist()] for b, c in count.items()}
+
+
 def test_mixing_against_bit_by_bit(spark):
     rng = random.Random(3)
     texts = [sentence(rng, n) for n in (5, 80, 130, 1)] + ["", "é漢🙂 x"]
     docs = docs_of(spark, texts)
-    nodes = mixing._model_nodes([(r.order, r.piece, bytes(r.nodes)) for r in mixing.tables(docs).collect()])
-    got = {r.doc_id: r for r in mixing.score(docs, keep=["doc_id"]).collect()}
+    halves = [r.h for r in docs.select("doc_id", mixing.half_of(docs).alias("h")).orderBy("doc_id").collect()]
+    assert set(halves) == {0, 1}
+    nodes = counted_blocks(texts, halves)
+    got = {r.doc_id: r for r in mixing.score(docs, keep=["doc_id"], room=256).collect()}
     for i, t in enumerate(texts):
-        want = slow_bits(t.encode(), nodes)
-        assert got[i].n_bytes == len(t.encode()) and abs(got[i].bits - want) < 0.01 * want + 0.2
+        want = slow_bits(t.encode(), 1 - halves[i], nodes)
+        assert got[i].n_bytes == len(t.encode()) and abs(got[i].bits - want) < 0.02 * want + 0.2
     assert got[4].bits_per_byte is None
 
 
-def test_mixing_counts_are_those_of_the_corpus():
+def test_mixing_counts_are_those_of_the_corpus(spark):
     rng = random.Random(4)
     texts = [sentence(rng, 20) for _ in range(6)]
     raw = np.frombuffer("".join(texts).encode(), np.uint8)
@@ -192,13 +218,29 @@ def test_mixing_counts_are_those_of_the_corpus():
     i = 0
     for t in texts:
         for j in range(len(t)):
-            assert h[i] == sum(ord(t[j - k]) << (8 * (k - 1)) for k in range(1, 5) if j >= k)
+            assert h[i] == sum(ord(t[j - k]) << (8 * (k - 1)) for k in range(1, 7) if j >= k)
             i += 1
-    c = np.zeros((1, 256))
-    c[0, [65, 66]] = [30, 10]
-    odds = mixing.log_odds(c)[0] / mixing.SCALE
-    assert abs(odds[(65 | 256) >> 1] - math.log(30.05 / 0.05)) < 0.05 and abs(odds[(66 | 256) >> 1] - math.log(0.05 / 10.05)) < 0.05
-    assert abs(odds[(65 | 256) >> 2] - math.log(10.05 / 30.05)) < 0.05
+    docs = docs_of(spark, texts).repartition(3)
+    halves = {r.text: r.h for r in docs.select("text", mixing.half_of(docs).alias("h")).collect()}
+    want = counted_blocks(texts, [halves[t] for t in texts])
+    got = {}
+    for r in mixing.blocks(docs, "text", mixing.half_of(docs), 4).collect():
+        nodes = np.frombuffer(r.nodes, np.int8).reshape(-1, 16)
+        got |= {int(k) >> 4: [0, *n[1:].tolist()] for k, n in zip(np.frombuffer(r["keys"], np.uint64), nodes)}
+    assert got == want
+
+
+def test_mixing_table_grows_with_the_corpus_and_keeps_what_is_seen_most(spark):
+    rng = random.Random(16)
+    bits = []
+    for n in (20, 400):
+        docs = docs_of(spark, [sentence(rng, 40) for _ in range(n)])
+        found = mixing.materialise(mixing.blocks(docs, "text", mixing.half_of(docs), 4), "test-blocks")
+        table, b = mixing.table_of(found)
+        bits.append(b)
+        small, _ = mixing.table_of(found, max_bits=10)
+        assert len(table) == 16 << b and len(small) == 16 << 10 and small.any()
+    assert bits[1] > bits[0]
 
 
 def test_mixing_is_the_same_beside_other_texts_and_prefers_known_text(spark):
