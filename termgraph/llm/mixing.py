@@ -42,7 +42,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from termgraph.llm.vectortext import buffers, mix, runs
 from termgraph.storage import fresh_name, materialise
 
-ORDERS = (1, 2, 3, 4, 6)
+ORDERS = (1, 2, 3, 4)
 K = len(ORDERS)
 LANES = 128
 STEPS = ((256, 16), (4096, 64), (1 << 62, 256))  #: up to which place updates follow how many bytes
@@ -58,7 +58,7 @@ PRIOR = 0.05
 MAX_BITS = 23
 _COUNT_BYTES = 1 << 20
 _MERGE = 1 << 22
-_PIECE_BYTES = 64 << 20  #: text a piece
+_PIECE_BYTES = 64 << 20  #: text a piece, and at least a counting task: the more a task reads, the more it adds up before it sends
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(15)
 
@@ -197,7 +197,9 @@ def blocks(docs: DataFrame, text: str, half: Column, piece_bits: int) -> DataFra
         keys, nodes, seen = blocks_of(*summed(cells, counts.astype(np.int64)))
         return pd.DataFrame({"piece": own["piece"].iloc[:1], "keys": [keys.tobytes()], "nodes": [nodes.tobytes()], "seen": [seen.tobytes()], "many": [np.bincount(seen, minlength=256).tolist()]})
 
-    sent = corpus_counts(docs.select(text, half.alias("_half")), piece_bits)
+    texts = docs.select(text, half.alias("_half"))
+    tasks = max(1 << piece_bits, 2 * docs.sparkSession.sparkContext.defaultParallelism)
+    sent = corpus_counts(texts.coalesce(tasks), piece_bits)
     return sent.groupBy("piece").applyInPandas(merge, "piece int, keys binary, nodes binary, seen binary, many array<long>")
 
 
@@ -328,7 +330,7 @@ def score(docs: DataFrame, text: str = "text", keep: list[str] | None = None, ma
     keep = [c for c in docs.columns if c != text] if keep is None else keep
     size = docs.agg(F.sum(F.octet_length(text)).alias("b")).first().b or 0
     half = half_of(docs)
-    table, bits = table_of(materialise(blocks(docs, text, half, max(4, (size // _PIECE_BYTES).bit_length() + 2)), "mixing-blocks"), max_bits, room)
+    table, bits = table_of(materialise(blocks(docs, text, half, max(3, (size // _PIECE_BYTES).bit_length())), "mixing-blocks"), max_bits, room)
     shared = docs.sparkSession.sparkContext.broadcast(table)
     names = [fresh_name(docs.select(*keep), n) for n in ("n_bytes", "bits", "bits_per_byte")]
 
