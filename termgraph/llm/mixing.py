@@ -10,14 +10,14 @@ its part and sends them once, by pieces of the hash; a piece's counts add up to
 written to the shared folder, a row a piece.
 
 Table.  Scoring holds the blocks in one table with a check byte for each (a context that isn't there predicts nothing).  The table
-takes at least two places a block, so it grows with the number of contexts met, up to ``max_bits`` (2**23 blocks of 16 bytes,
-128 MB, what a worker can hold).  From there on it takes the contexts that were seen most often.  A block may stand at its place or at the
+takes at least two places a block, so it grows with the number of contexts met, up to ``max_bits`` (2**22 blocks of 16 bytes,
+64 MB, 256 MB laid out for reading: what a worker can hold).  From there on it takes the contexts that were seen most often.  A block may stand at its place or at the
 one beside it; of three that meet, those seen more often stay.
 
 Mixing.  The log-odds x_k of the predictors are combined as s = sum_k w[g, bit, k] x_k + d[bit, round(2 s')] + u[hash of three bytes and node],
 where the gate g is the class of the byte before (letter or digit, blank, other ASCII, other), d refines the mix s' by its own
 height and u is a predictor that learns from this document alone.  All three begin alike for each document and follow the gradient of the coding
-cost online: after every 16 bytes of the first 256, every 64 up to 4096, every 256 from there on.  The score is the sum of
+cost online: after every 16 bytes of the first 64, every 64 up to 512, every 128 from there on.  The score is the sum of
 -log2 p over all bits, over the whole text.
 
 A document's score depends on its text and the corpus' counts alone: documents are only put side by side (``LANES``
@@ -30,6 +30,7 @@ leading underscores; columns of map type play no part in the halves.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,13 +40,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from termgraph.llm.vectortext import buffers, mix, runs
+from termgraph.llm.vectortext import buffers, runs
 from termgraph.storage import fresh_name, materialise
 
 ORDERS = (1, 2, 3, 4)
 K = len(ORDERS)
-LANES = 128
-STEPS = ((256, 16), (4096, 64), (1 << 62, 256))  #: up to which place updates follow how many bytes
+LANES = 64
+STEPS = ((64, 16), (512, 64), (1 << 62, 128))  #: up to which place updates follow how many bytes
 GATES = 4
 BINS = 33
 OWN_BITS = 11  #: cells of a document's own predictor
@@ -55,16 +56,18 @@ REFINE = 0.05
 LEARN = 0.1
 SCALE = 16.0  #: log-odds are kept in sixteenths, from -7.9 to 7.9
 PRIOR = 0.05
-MAX_BITS = 23
+MAX_BITS = 22
 _COUNT_BYTES = 1 << 20
 _MERGE = 1 << 22
 _PIECE_BYTES = 64 << 20  #: text a piece, and at least a counting task: the more a task reads, the more it adds up before it sends
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_STEP = np.arange(1, 17, dtype=np.uint64) * _ODD
+_SALTS = np.arange(1, 2 * K + 1, dtype=np.uint64) * np.uint64(0xFF51AFD7ED558CCD)
 _LOW = np.uint64(15)
 
 _BIT = (np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1
 _SIGN = (2 * _BIT - 1).astype(np.float32)
-_NODE = np.stack([(np.arange(256) | 256) >> (8 - b) for b in range(8)], axis=1)
+_NODE = np.stack([(np.arange(256) | 256) >> (8 - b) for b in range(8)], axis=1) * 73
 _PATH = np.stack([(np.arange(16) | 16) >> (4 - b) for b in range(4)], axis=1)
 _GATE = np.full(256, 2, np.int64)
 _GATE[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 0
@@ -87,12 +90,20 @@ def histories(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
 def upper_keys(h: np.ndarray, half: np.ndarray, order: int) -> np.ndarray:
     """Hash of the block that predicts the upper half of the byte after each history."""
     own = h & np.uint64((1 << 8 * ORDERS[order]) - 1)
-    return mix(own * _ODD + (half.astype(np.uint64) + np.uint64(2 * order + 1)))
+    own += np.uint64(1)
+    own *= _ODD
+    own += _SALTS[2 * order + half]
+    own ^= own >> np.uint64(32)
+    own *= np.uint64(0xD6E8FEB86659FD93)
+    own ^= own >> np.uint64(32)
+    own *= np.uint64(0xD6E8FEB86659FD93)
+    return own
 
 
 def lower_keys(upper: np.ndarray, nibble: np.ndarray) -> np.ndarray:
     """Hash of the block that predicts the lower half, once the upper one is known."""
-    x = (upper | _LOW) + (nibble.astype(np.uint64) + np.uint64(1)) * _ODD
+    x = upper | _LOW
+    x += _STEP[nibble]
     x ^= x >> np.uint64(32)
     x *= np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(29)
@@ -114,7 +125,7 @@ def cells_of(raw: np.ndarray, offsets: np.ndarray, half: np.ndarray) -> list[tup
     out = []
     for k in range(K):
         up = upper_keys(h, side, k)
-        for key, nibble in ((up, upper), (lower_keys(up, upper), lower)):
+        for key, nibble in ((up, upper), (lower_keys(up, raw >> 4), lower)):
             cells = (key & ~_LOW) | nibble
             cells.sort()
             at = runs(cells)
@@ -169,7 +180,7 @@ def log_odds(counts: np.ndarray) -> np.ndarray:
 
 def tag_of(keys: np.ndarray) -> np.ndarray:
     """A block's check byte."""
-    return ((keys >> np.uint64(4)) & np.uint64(255)).astype(np.uint8).view(np.int8)
+    return keys.view(np.int8)[1::8]  # bits 8 to 15
 
 
 def blocks_of(cells: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -235,17 +246,18 @@ def table_of(found: DataFrame, max_bits: int = MAX_BITS, room: int = 2) -> tuple
     return table.ravel(), bits
 
 
-def bits_of(raw: np.ndarray, offsets: np.ndarray, half: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
+def bits_of(raw: np.ndarray, offsets: np.ndarray, half: np.ndarray, table: Table) -> np.ndarray:
     """Bits of each text, by the counts of the half that it isn't in."""
     sizes = np.diff(offsets)
     out = np.zeros(len(sizes))
     order = np.argsort(sizes, kind="stable")[::-1]
     h, other = histories(raw, offsets[:-1], sizes), 1 - half
+    room = _Room(LANES * max(w for _, w in STEPS))
     for g in range(0, len(order), LANES):
         own = order[g : g + LANES]
         own = own[sizes[own] > 0]
         if len(own):
-            out[own] = _lanes(raw, h, other[own], offsets[own], sizes[own], table, bits)
+            out[own] = _lanes(raw, h, other[own], offsets[own], sizes[own], table, room)
     return out
 
 
@@ -258,26 +270,51 @@ def steps(longest: int) -> Iterator[tuple[int, int]]:
         at += width
 
 
-def _look(table: np.ndarray, bits: int, keys: np.ndarray, nibble: np.ndarray, out: np.ndarray) -> None:
-    """Log-odds of the four bits of a half byte into ``out`` (n, 4); 0 where the context isn't in the table."""
-    block, tag = (keys >> np.uint64(64 - bits)).astype(np.int64) << 4, tag_of(keys)
-    block ^= (table[block] != tag).astype(np.int64) << 4
-    known = (table[block] == tag).astype(np.float32) * np.float32(1 / SCALE)
-    np.multiply(table[block[:, None] + _PATH[nibble]], known[:, None], out=out)
+class Table:
+    """The table laid out for reading: for each block and half byte the log-odds of its four bits as one 32-bit word."""
 
+    def __init__(self, flat: np.ndarray, bits: int):
+        wide = flat.reshape(-1, 16)
+        self.shift, self.tags, self.words = np.uint64(64 - bits), np.ascontiguousarray(wide[:, 0]), np.empty(len(flat), np.int32)
+        for a in range(0, len(wide), 1 << 16):
+            self.words[a * 16 : (a << 4) + (16 << 16)] = np.ascontiguousarray(wide[a : a + (1 << 16), _PATH]).view(np.int32).ravel()
 
-def _lanes(raw: np.ndarray, h: np.ndarray, half: np.ndarray, starts: np.ndarray, sizes: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
+    def look(self, keys: np.ndarray, nibble: np.ndarray, out: np.ndarray) -> None:
+        """Log-odds of the four bits of a half byte into ``out`` (n, 4); 0 where the context isn't in the table."""
+        block, tag = (keys >> self.shift).astype(np.int64), tag_of(keys)
+        known = self.tags[block] == tag
+        other = np.flatnonzero(~known)  # at the place beside, or nowhere
+        block[other] ^= 1
+        known[other] = self.tags[block[other]] == tag[other]
+        known = known * np.float32(1 / SCALE)
+        block <<= 4
+        block |= nibble
+        np.multiply(self.words[block].view(np.int8).reshape(-1, 4), known[:, None], out=out)
+
+
+class _Room:
+    """Arrays that every step of every group of lanes reuses: fresh ones of this size would be mapped anew each time."""
+
+    def __init__(self, n: int):
+        f = np.float32
+        self.x = np.empty((K, n, 8), f)
+        self.s, self.sign, self.u, self.more, self.error = (np.empty((n, 8), f) for _ in range(5))
+        self.bins, self.cell = np.empty((n, 8), np.int64), np.empty((n, 8), np.int64)
+
+
+def _lanes(raw: np.ndarray, h: np.ndarray, half: np.ndarray, starts: np.ndarray, sizes: np.ndarray, table: Table, room: _Room) -> np.ndarray:
     """Bits of some texts, longest first, one stretch of each at a time."""
     n = len(starts)
     weight = np.full((K, n * GATES, 8), START, np.float32)
     refine, own_odds = np.zeros(n * 8 * BINS, np.float32), np.zeros(n << OWN_BITS, np.float32)
     total = np.zeros(n)
     lane_bins = ((np.arange(8) * BINS)[None] + (np.arange(n) * 8 * BINS)[:, None])[:, None]
+    lane_cells = (np.arange(n) << OWN_BITS)[:, None]
     gates = np.arange(GATES)[:, None]
-    room = np.empty((K, n * max(w for _, w in STEPS), 8), np.float32) if len(sizes) else None
     for at, width in steps(int(sizes[0])):
         live = int(np.searchsorted(-sizes, -at, "left"))
         m = live * width
+        s, sign, u, more, error, bins, cell = (a[:m] for a in (room.s, room.sign, room.u, room.more, room.error, room.bins, room.cell))
         step = np.arange(at, at + width)
         inside = step < sizes[:live, None]
         place = (np.minimum(step, sizes[:live, None] - 1) + starts[:live, None]).ravel()
@@ -285,37 +322,50 @@ def _lanes(raw: np.ndarray, h: np.ndarray, half: np.ndarray, starts: np.ndarray,
         upper, lower = byte >> 4, byte & 15
         gate = _GATE[(past & np.uint64(255)).astype(np.int64)].reshape(live, width)
         own = (np.arange(live)[:, None] * GATES + gate).ravel()
-        s = np.zeros((m, 8), np.float32)
         for k in range(K):  # predictors one by one, each in an array without gaps
-            x = room[k, :m]
+            x = room.x[k, :m]
             keys = upper_keys(past, side, k)
-            _look(table, bits, keys, upper, x[:, :4])
-            _look(table, bits, lower_keys(keys, upper), lower, x[:, 4:])
-            s += weight[k][own] * x
+            table.look(keys, upper, x[:, :4])
+            table.look(lower_keys(keys, upper), lower, x[:, 4:])
+            np.take(weight[k], own, axis=0, out=more if k else s, mode="clip")
+            if k:
+                more *= x
+                s += more
+            else:
+                s *= x
         np.clip(s, -8, 8, out=s)
-        bins = (s * 2 + np.float32(16.5)).astype(np.int64)
+        np.multiply(s, 2, out=more)
+        more += np.float32(16.5)
+        np.copyto(bins, more, casting="unsafe")
         wide = bins.reshape(live, width, 8)
         wide += lane_bins[:live]
-        s += refine[bins]
-        cell = (((past & np.uint64(0xFFFFFF)) * np.uint64(0x9E3779B1)) >> np.uint64(9)).astype(np.int64)[:, None] ^ (_NODE[byte] * 73)
+        np.take(refine, bins, out=more, mode="clip")
+        s += more
+        np.take(_NODE, byte, axis=0, out=cell, mode="clip")
+        cell ^= (((past & np.uint64(0xFFFFFF)) * np.uint64(0x9E3779B1)) >> np.uint64(9)).astype(np.int64)[:, None]
         cell &= (1 << OWN_BITS) - 1
         cells = cell.reshape(live, width * 8)
-        cells += (np.arange(live) << OWN_BITS)[:, None]
-        s += own_odds[cell]
-        sign = _SIGN[byte]
-        u = np.exp(-s * sign)
+        cells += lane_cells[:live]
+        np.take(own_odds, cell, out=more, mode="clip")
+        s += more
+        np.take(_SIGN, byte, axis=0, out=sign, mode="clip")
+        s *= sign
+        np.negative(s, out=s)
+        np.exp(s, out=u)
         if not inside[:, -1].all():
             u *= inside.reshape(m, 1)  # a padded byte costs nothing and teaches nothing
-        more = u + 1
-        error = u / more * sign
-        total[:live] += np.log2(more).reshape(live, -1).sum(axis=1, dtype=np.float64)
+        np.add(u, 1, out=s)
+        np.divide(u, s, out=error)
+        error *= sign
+        parts = s.reshape(live, 2, width * 4)
+        total[:live] += np.log2(parts[:, 0] * parts[:, 1]).sum(axis=1, dtype=np.float64)
         refine += np.float32(REFINE) * np.bincount(bins.ravel(), weights=error.ravel(), minlength=len(refine)).astype(np.float32)
-        own_odds[: live << OWN_BITS] += np.float32(LEARN) * np.bincount(cell.ravel(), weights=error.ravel(), minlength=live << OWN_BITS).astype(np.float32)
-        one = (gate[:, None] == gates).astype(np.float32)
         for k in range(K):
-            x = room[k, :m]
-            x *= error
-            weight[k, : live * GATES] += np.float32(RATE) * np.matmul(one, x.reshape(live, width, 8)).reshape(live * GATES, 8)
+            np.multiply(room.x[k, :m], error, out=more)
+            one = (gate[:, None] == gates).astype(np.float32) if k == 0 else one
+            weight[k, : live * GATES] += np.float32(RATE) * np.matmul(one, more.reshape(live, width, 8)).reshape(live * GATES, 8)
+        error *= np.float32(LEARN)
+        np.add.at(own_odds, cell.ravel(), error.ravel())
     return total
 
 
@@ -325,24 +375,34 @@ def half_of(docs: DataFrame) -> Column:
     return F.xxhash64(*plain).bitwiseAND(1) if plain else F.lit(0).cast("long")
 
 
+_ready: dict[str, Table] = {}  #: the worker's table, by model
+
+
+def _laid_out(model: str, shared, bits: int) -> Table:
+    if model not in _ready:
+        _ready.clear()
+        _ready[model] = Table(shared.value, bits)
+    return _ready[model]
+
+
 def score(docs: DataFrame, text: str = "text", keep: list[str] | None = None, max_bits: int = MAX_BITS, room: int = 2) -> DataFrame:
     """The columns ``keep`` (default: all but the text) with ``n_bytes``, ``bits`` and ``bits_per_byte``."""
     keep = [c for c in docs.columns if c != text] if keep is None else keep
     size = docs.agg(F.sum(F.octet_length(text)).alias("b")).first().b or 0
     half = half_of(docs)
     table, bits = table_of(materialise(blocks(docs, text, half, max(3, (size // _PIECE_BYTES).bit_length())), "mixing-blocks"), max_bits, room)
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared, model = docs.sparkSession.sparkContext.broadcast(table), uuid.uuid4().hex
     names = [fresh_name(docs.select(*keep), n) for n in ("n_bytes", "bits", "bits_per_byte")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = _laid_out(model, shared, bits)
         for b in batches:
             data, offsets = buffers(b.column(len(keep)))
             half = b.column(len(keep) + 1).to_numpy(zero_copy_only=False)
             row, last, found = 0, len(offsets) - 1, np.zeros(len(offsets) - 1)
             while row < last:
                 end = min(last, max(row + 1, int(np.searchsorted(offsets, offsets[row] + _COUNT_BYTES, "right")) - 1))
-                found[row:end] = bits_of(data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row], half[row:end], own, bits)
+                found[row:end] = bits_of(data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row], half[row:end], own)
                 row = end
             each = np.diff(offsets)
             with np.errstate(invalid="ignore", divide="ignore"):
