@@ -6,7 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-COARSE_BITS = 12  #: the curve's first 2**12 stretches carry the first level of the running total
+from termgraph.storage import materialise
+
+RANGE_ROWS = 500_000  #: rows of one range of the running total
 
 
 def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
@@ -39,14 +41,15 @@ def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
     return index
 
 
-def running_total(rows: DataFrame, curve: str, id: str, weight: str, bits: int, out: str) -> DataFrame:
-    """``rows`` (one for each curve position and id) with ``out``, the weight of all rows before it.
+def running_total(rows: DataFrame, curve: str, id: str, weight: str, out: str) -> DataFrame:
+    """``rows`` (one for each curve position and id) with ``out``, the weight of all rows before it (NULL ids first).
 
-    Two levels: totals of the curve's coarse stretches (at most 2**COARSE_BITS rows, whatever the data)
-    and a window inside each stretch.  Only narrow rows are shuffled."""
-    stretch = F.shiftright(F.col(curve), max(0, bits - COARSE_BITS))
-    work = rows.withColumn("_stretch", stretch)
-    totals = work.groupBy("_stretch").agg(F.sum(weight).alias("_sum"))
-    before = totals.select("_stretch", F.coalesce(F.sum("_sum").over(Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.coalesce(F.sum(weight).over(Window.partitionBy("_stretch").orderBy(curve, id).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return work.withColumn("_inside", inside).join(F.broadcast(before), "_stretch").withColumn(out, F.col("_before") + F.col("_inside")).drop("_stretch", "_inside", "_before")
+    Two levels: the rows are written in ranges of about ``RANGE_ROWS`` rows each, whatever their places; a range's
+    total is one number, and a window goes over one range.  Only narrow rows are shuffled."""
+    held = materialise(rows, "curve-rows")
+    parts = max(1, -(-held.count() // RANGE_ROWS))
+    ranged = materialise(held.repartitionByRange(parts, F.col(curve).asc(), F.col(id).asc_nulls_first()).withColumn("_range", F.spark_partition_id()), "curve-ranges")
+    totals = ranged.groupBy("_range").agg(F.sum(weight).alias("_sum"))
+    before = totals.select("_range", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.coalesce(F.sum(weight).over(Window.partitionBy("_range").orderBy(F.col(curve).asc(), F.col(id).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.withColumn("_inside", inside).join(F.broadcast(before), "_range").withColumn(out, F.col("_before") + F.col("_inside")).drop("_range", "_inside", "_before")

@@ -7,9 +7,9 @@ with an end mark, and the line is cut every ``capacity`` tokens, so that a pack
 and only the last one is not full.  A token is a word as the tokeniser of ``vectortext`` finds it.
 
 The text is read once and never shuffled: what moves is (id, index, length).  The running total
-has two levels, so no task sees the whole order.
+has two levels over ranges of equal size, so no task sees the whole order, however the documents crowd.
 
-Defined cases: a NULL or empty text is at the origin of the projection and takes one token, its
+Defined cases: ids of any type that can be ordered; a NULL or empty text is at the origin of the projection and takes one token, its
 end mark; documents at the same place are ordered by id (NULL first); rows that repeat an id
 and a text follow each other; a document longer than a pack continues in the next ones, with its offset;
 an empty table gives no packs; other columns play no part.
@@ -31,7 +31,6 @@ from termgraph.llm.vectortext import chunks, distinct_pairs, segment_sum, words
 BUCKET_BITS = 16
 DIMS, BITS = 4, 12
 CAPACITY = 4096
-_NONE = -(1 << 63)
 
 
 @lru_cache(maxsize=1)
@@ -64,14 +63,15 @@ def places(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame
                 curve, tokens = curve_and_length(b.column(1))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(curve), pa.array(tokens)], names=["id", "curve", "tokens"])
 
-    return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, curve long, tokens long")
+    kind = docs.schema[id].dataType.simpleString()
+    return docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, curve long, tokens long")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, text: str = "text", id: str = "doc_id") -> DataFrame:
     """(pack_id, doc_ids, offsets, lengths, n_tokens): a row a pack, its pieces in order; ``offsets`` are
     the tokens of the document that earlier packs hold."""
-    one = places(docs, text, id).groupBy("curve", F.coalesce("id", F.lit(_NONE)).alias("key")).agg(F.first("id", ignorenulls=True).alias("id"), F.collect_list("tokens").alias("each"), F.sum("tokens").alias("tokens"))
-    line = running_total(one, "curve", "key", "tokens", DIMS * BITS, "start")
+    one = places(docs, text, id).groupBy("curve", "id").agg(F.collect_list("tokens").alias("each"), F.sum("tokens").alias("tokens"))
+    line = running_total(one, "curve", "id", "tokens", "start")
     # rows that repeat an id at one place are laid one after the other
     each = line.select("id", "start", F.posexplode(F.array_sort("each")).alias("nth", "length"), "each").select(
         "id", "length", (F.col("start") + F.aggregate(F.slice(F.array_sort("each"), 1, F.col("nth")), F.lit(0).cast("long"), lambda a, x: a + x)).alias("start")

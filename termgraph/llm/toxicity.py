@@ -13,7 +13,7 @@ makes their number fixed) are broadcast, the term vectors are built where the te
 machine by AdaGrad.  The model has a fixed size (2**18 * 5 numbers), is written to the shared folder and broadcast.
 Every document is then scored, over its whole text.
 
-Defined cases: a NULL or empty text has no terms and is not toxic (its score is that of the bias); a NULL
+Defined cases: ids of any type; a NULL or empty text has no terms and is not toxic (its score is that of the bias); a NULL
 label row is ignored; ids labelled twice are used once, toxic if any label says so; repeated rows get equal scores;
 without labels of both classes nothing is toxic (score 0); an empty table gives an empty table; columns
 named ``toxicity`` or ``toxic`` stay and the new ones get leading underscores.
@@ -137,6 +137,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc
     """One row, ``model``: the machine fitted on the sample."""
     sample = labels.where(F.col(id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id).alias("_id")).agg(F.max(F.col(label).cast("int")).alias("_toxic"))
     sample = sample.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
+    if docs.schema[id].dataType != labels.schema[id].dataType:  # ids of two types are equal where they are written alike
+        docs, sample = docs.withColumn(id, F.col(id).cast("string")), sample.withColumn("_id", F.col("_id").cast("string"))
     texts = docs.select(F.col(id).alias("_doc"), F.coalesce(text, F.lit("")).alias("_text")).join(F.broadcast(sample), F.col("_doc") == F.col("_id")).select("_text", "_toxic")
     vectors = materialise(texts.mapInArrow(_vectors, "slots array<int>, amounts array<float>, toxic int"), "term-vectors")
 

@@ -67,6 +67,44 @@ def test_simhash_against_brute_force(spark):
     assert all(root[i] == root[g] for i, g in group.items()), "a group holds documents that no chain of near copies links"
 
 
+def test_simhash_layout_reaches_its_recall_at_the_limit():
+    for n in (10, 10**4, 10**6, 10**8, 10**10):
+        bits, tables = simhash.layout(n)
+        miss = (1 - (1 - simhash.MAX_DISTANCE / simhash.BITS) ** bits) ** tables
+        assert miss <= 1 - simhash.RECALL and n / 2**bits < 64
+    rng = np.random.default_rng(21)
+    masks = simhash._masks(*simhash.layout(10**6))
+    met = 0
+    for _ in range(300):  # pairs at the very limit
+        flip = sum(1 << int(b) for b in rng.choice(simhash.BITS, simhash.MAX_DISTANCE, replace=False))
+        words_ = [(flip >> (64 * w)) & (1 << 64) - 1 for w in range(simhash.WORDS)]
+        met += any(all(not (m & f) for m, f in zip(mask, words_)) for mask in masks)
+    assert met >= 0.85 * 300
+
+
+def test_bucket_groups_are_those_of_all_pairs():
+    rng = np.random.default_rng(22)
+    seeds = rng.integers(0, 1 << 63, (5, simhash.WORDS), dtype=np.uint64)
+    prints = np.concatenate([seeds[rng.integers(0, 5, 150)], rng.integers(0, 1 << 63, (60, simhash.WORDS), dtype=np.uint64)])
+    for i in range(150):
+        for bit in rng.choice(256, rng.integers(0, 34), replace=False):
+            prints[i, bit // 64] ^= np.uint64(1 << int(bit % 64))
+    order = rng.permutation(len(prints))
+    prints = prints[order]
+    near = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2) <= simhash.MAX_DISTANCE
+    a, b = np.nonzero(np.triu(near, 1))
+    want = simhash.local_roots(len(prints), a, b)
+    ids = pa.array([f"r{i:03}" for i in range(len(prints))])
+    batch = lambda key: pa.RecordBatch.from_arrays([pa.array(key), ids, *(pa.array(prints[:, w].view(np.int64)) for w in range(simhash.WORDS))], names=["key", "id", *simhash._F])
+    for small in (64, 1000):
+        simhash.SMALL, was = small, simhash.SMALL
+        out = [e for e in simhash._bucket_edges(simhash.MAX_DISTANCE)(iter([batch(np.zeros(len(prints), np.int64)).slice(0, 100), batch(np.zeros(len(prints), np.int64)).slice(100)]))]
+        simhash.SMALL = was
+        at = {f"r{i:03}": i for i in range(len(prints))}
+        x, y = (np.array([at[v] for e in out for v in e.column(k).to_pylist()]) for k in (0, 1))
+        assert (simhash.local_roots(len(prints), x, y) == want).all()
+
+
 def test_simhash_fingerprint_is_the_majority():
     text = "one two three two"
     raw = np.frombuffer(text.encode(), np.uint8)
@@ -289,21 +327,52 @@ def test_hilbert_curve_is_a_walk_over_every_cell():
 
 def test_sharding(spark, sf, odd, none):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    out = sharding.shard(docs, target_bytes=50_000)
+    out = sharding.shard(docs, target_bytes=5_000)
     rows = out.select("doc_id", "curve", "shard", F.octet_length("text").alias("b"), F.spark_partition_id().alias("p")).collect()
     order = sorted(rows, key=lambda r: (r.curve, r.doc_id))
-    assert [r.shard for r in order] == sorted(r.shard for r in rows) and len(rows) == docs.count()
+    run = sharding.run_bytes(docs, 5_000)
+    assert run == min(5_000, -(-sum(r.b for r in rows) // 64)) and len(rows) == docs.count()
     start = 0
     for r in order:
-        assert r.shard == start // 50_000
+        assert r.shard == start // run
         start += r.b
     assert all(len({r.p for r in rows if r.shard == s}) == 1 for s in {r.shard for r in rows})
-    manifest = {r.shard: r for r in sharding.manifest(docs, 50_000).collect()}
+    manifest = {r.shard: r for r in sharding.manifest(sharding.keyed(docs, run)).collect()}
     assert sum(m.docs for m in manifest.values()) == len(rows) and set(manifest) == {r.shard for r in rows}
+    # pruning: shards that a reader of one value, or of a tenth of the ids, must open
+    n, seen = len(manifest), docs.collect()
+    for k, values in (("source", {r.source for r in seen}), ("lang", {r.lang for r in seen})):
+        opened = [sum(m[f"min_{k}"] <= v <= m[f"max_{k}"] for m in manifest.values()) / n for v in values]
+        assert sum(opened) / len(opened) < 0.7, (k, opened)
+    ids = sorted(r.doc_id for r in seen)
+    tenth = [(ids[i * len(ids) // 10], ids[(i + 1) * len(ids) // 10 - 1]) for i in range(10)]
+    assert sum(sum(m.min_doc_id <= hi and lo <= m.max_doc_id for m in manifest.values()) for lo, hi in tenth) / (10 * n) < 0.6
+    joined = sharding.shard(docs, target_bytes=5_000, max_shards=1)
+    assert sorted((r.doc_id, r.curve, r.shard) for r in joined.collect()) == sorted((r.doc_id, r.curve, r.shard) for r in rows)
     got = sharding.shard(odd)
     assert "_curve" in got.columns and "_shard" in got.columns and got.count() == 10 and sharding.shard(none).count() == 0
 
 
+def test_coordinates_keep_the_order(spark):
+    names = ["site-10.org", "site-2.net", "site-2.org", "site-é.org", "site-", None]
+    df = spark.createDataFrame([(n,) for n in names], "s string")
+    got = {r.s: r.c for r in df.select("s", sharding.coordinate("s", "site-", "site-é.org").alias("c")).collect()}
+    values = [got[n] for n in sorted((n for n in names if n), key=lambda x: x.encode())]
+    assert values == sorted(values) and values[0] == 0 and values[-1] == 4095 and got[None] == 0 and len(set(values)) >= 4
+
+
+def test_string_ids(spark, odd, sf):
+    named = odd.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    d = named
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        d = stage(spark, d, sf)
+        assert d.columns == named.columns
+    packs = packing.pack(named, capacity=1000).collect()
+    assert {i for r in packs for i in r.doc_ids} == {"d1", "d2", "d3", "d4", "d5", "d6", "d7", None}
+    assert {r.doc_id for r in simhash.near_groups(named).collect()} == {"d1", "d3", "d4", "d5", "d6", "d7"}
+    assert sharding.shard(named).count() == 10 and mixing.score(named).count() == 10 and exact_dedup.exact_dedup(named).count() == 7
+
+
 # 6 toxicity
 
 
@@ -333,6 +402,78 @@ def test_toxicity_learns_the_pair_on_held_out_texts(spark):
     assert hits > 0.9, hits
 
 
+def either_not_both(n, seed):
+    """Toxic: an insult or a group mention, not both; no weighted sum of the two tells it."""
+    rng = random.Random(seed)
+    texts, toxic = [], []
+    for _ in range(n):
+        insult, group = rng.random() < 0.5, rng.random() < 0.5
+        w = [rng.choice(WORDS) for _ in range(30)] + ["dreadful"] * insult + ["martians"] * group
+        rng.shuffle(w)
+        texts.append(" ".join(w))
+        toxic.append(int(insult != group))
+    return texts, np.array(toxic)
+
+
+def test_machine_learns_what_no_linear_model_can():
+    texts, y = either_not_both(3000, 17)
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    at = np.cumsum([0, *map(len, texts)])
+    doc, slot, value = toxicity.term_vectors(raw, at)
+    cut = np.searchsorted(doc, np.arange(len(texts) + 1))
+    docs = [(slot[a:b], value[a:b]) for a, b in zip(cut[:-1], cut[1:])]
+    right = {}
+    for factors in (True, False):
+        m = toxicity.fit(docs[:2000], y[:2000], epochs=40)
+        if not factors:  # the same descent with the pairs held at nothing
+            own = np.random.default_rng
+            np.random.default_rng = lambda seed: type("Flat", (), {"normal": lambda s, a, b, shape: np.zeros(shape), "permutation": lambda s, n, r=own(seed): r.permutation(n)})()
+            try:
+                m = toxicity.fit(docs[:2000], y[:2000], epochs=40)
+            finally:
+                np.random.default_rng = own
+        p = m.score(doc, slot, value, len(texts))[2000:]
+        right[factors] = ((p > 0.5) == y[2000:]).mean()
+    assert right[True] > 0.9 and right[False] < 0.7, right
+
+
+def test_fit_against_plain_loops():
+    rng = np.random.default_rng(18)
+    docs = [(np.sort(rng.choice(6, 3, replace=False)), rng.random(3).astype(np.float32)) for _ in range(12)]
+    y = rng.integers(0, 2, 12)
+    got = toxicity.fit(docs, y, epochs=3, batch=5, least_docs=1)
+    n = 1 << toxicity.SLOT_BITS
+    r = np.random.default_rng(5)
+    v, w, b = r.normal(0, 0.02, (n, toxicity.FACTORS)), np.zeros(n), 0.0
+    seen = {i for s, _ in docs for i in s}
+    v = {i: v[i].astype(np.float32).astype(float) for i in seen}
+    gw, gv, gb = {i: 1e-2 for i in seen}, {i: np.full(toxicity.FACTORS, 1e-2) for i in seen}, 1e-2
+    for _ in range(3):
+        order = r.permutation(12)
+        for at in range(0, 12, 5):
+            own = order[at : at + 5]
+            dw, dv, db = {}, {}, 0.0
+            for d in own:
+                s, x = docs[d]
+                raw = b + sum(w[i] * a for i, a in zip(s, x)) + sum(float(v[s[i]] @ v[s[j]]) * x[i] * x[j] for i in range(3) for j in range(i))
+                e = (1 / (1 + math.exp(-raw)) - y[d]) / len(own) * 16
+                db += e
+                for i, a in zip(s, x):
+                    dw[i] = dw.get(i, 0) + e * a
+                    dv[i] = dv.get(i, 0) + e * a * (sum(v[j] * c for j, c in zip(s, x)) - v[i] * a)
+            for i in dw:
+                g, h = dw[i] + 1e-5 * w[i], dv[i] + 1e-5 * v[i]
+                gw[i] += g * g
+                gv[i] = gv[i] + h * h
+                w[i] -= 0.1 * g / gw[i] ** 0.5
+                v[i] = v[i] - 0.025 * h / gv[i] ** 0.5
+            gb += db**2
+            b -= 0.1 * db / gb**0.5
+    assert abs(got.bias - b) < 1e-3
+    for i in seen:
+        assert abs(got.weight[i] - w[i]) < 1e-3 and np.abs(got.factor[i] - v[i]).max() < 1e-3
+
+
 def test_machine_score_is_the_sum_over_pairs():
     rng = np.random.default_rng(8)
     n = 1 << toxicity.SLOT_BITS
@@ -419,6 +560,32 @@ def test_packing_against_brute_force(spark, sf):
     assert all(t == len(re.findall(r"[a-z0-9\x80-\U0010ffff]+", (r.text or "").lower())) + 1 for t, r in zip(tokens, rows))
 
 
+def test_neighbours_on_the_curve_are_alike(spark):
+    rng = random.Random(19)
+    topics = [[rng.choice(WORDS) + str(rng.randrange(1000)) for _ in range(25)] for _ in range(12)]
+    texts = [" ".join(rng.choice(topics[i % 12]) for _ in range(60)) for i in range(600)]
+    rng.shuffle(texts)
+    kind = [next(k for k, t in enumerate(topics) if x.split()[0] in t) for x in texts]
+    packs = packing.pack(docs_of(spark, texts), capacity=1000).collect()
+    same = [kind[a] == kind[b] for r in packs for a, b in zip(r.doc_ids, r.doc_ids[1:])]
+    assert sum(same) / len(same) > 0.5, "by chance one in twelve"
+
+
+def test_running_total_in_many_ranges(spark):
+    from termgraph.llm import hilbert
+
+    rng = random.Random(20)
+    rows = [(rng.choice([0, 7, 7, 7, rng.randrange(1 << 40)]), i if i % 50 else None, rng.randrange(9)) for i in range(2000)]
+    rows = list({(c, i): (c, i, w) for c, i, w in rows}.values())
+    hilbert.RANGE_ROWS, was = 130, hilbert.RANGE_ROWS
+    got = {(r.c, r.i): r.s for r in hilbert.running_total(spark.createDataFrame(rows, "c long, i long, w long"), "c", "i", "w", "s").collect()}
+    hilbert.RANGE_ROWS = was
+    total = 0
+    for c, i, w in sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or 0)):
+        assert got[c, i] == total
+        total += w
+
+
 def test_packing_cases(odd, none):
     out = packing.pack(odd, capacity=1000).collect()
     assert all(r.n_tokens == 1000 for r in sorted(out)[:-1]) and sum(r.n_tokens for r in out) == sum(x for r in out for x in r.lengths)
