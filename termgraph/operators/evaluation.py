@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -202,19 +205,33 @@ def replicated(rows: DataFrame, times: int) -> DataFrame:
     return rows.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(times)))).drop("_k")
 
 
-def trigger_share_cap(rows: DataFrame, share: float = 0.4, trigger: str = "trigger", score: str = "score") -> DataFrame:
-    """``rows`` without the worst of triggers that hold more than ``share`` of what is left, again and again until none does.
+def capped_counts(counts: dict[str, int], share: float) -> dict[str, int]:
+    """What is left of each count when all that hold more than ``share`` of the sum lose one, again and again until none does.
 
-    Only the counts by trigger (a closed vocabulary) come to the driver."""
-    counts = {r[trigger]: r.n for r in rows.groupBy(trigger).agg(F.count(F.lit(1)).alias("n")).collect()}
-    while counts and len(counts) * share >= 1:
+    Rounds in which the same ones lose are taken at once, so the steps grow with the number of names, not with the counts."""
+    counts, part = dict(counts), Fraction(share).limit_denominator(10**6)
+    while counts and len(counts) * part >= 1:
         total = sum(counts.values())
-        over = [t for t, n in counts.items() if n > share * total]
+        over = [t for t, n in counts.items() if n > part * total]
         if not over:
             break
+        m = len(over)
+        # after j rounds the sum is total - m*j: one stops when n - j <= part*sum, one starts when n > part*sum
+        ends = [math.ceil((n - part * total) / (1 - part * m)) for t, n in counts.items() if t in over] if part * m < 1 else []
+        starts = [math.floor((total - n / part) / m) + 1 for t, n in counts.items() if t not in over and n]
+        rounds = max(1, min([*ends, *starts, min(counts[t] for t in over)]))
         for t in over:
-            counts[t] -= 1
-    keep = F.create_map(*[F.lit(x) for kv in counts.items() for x in kv]) if counts else None
-    if keep is None:
+            counts[t] -= rounds
+    return counts
+
+
+def trigger_share_cap(rows: DataFrame, share: float = 0.4, trigger: str = "trigger", score: str = "score") -> DataFrame:
+    """``rows`` without the worst of triggers that hold more than ``share`` of what is left (``capped_counts``); equal scores in the order of all columns' hash.
+
+    Only the counts by trigger (a closed vocabulary) come to the driver."""
+    counts = capped_counts({r[trigger]: r.n for r in rows.groupBy(trigger).agg(F.count(F.lit(1)).alias("n")).collect()}, share)
+    if not counts:
         return rows
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(trigger).orderBy(F.desc(score)))).where(F.col("_n") <= keep[F.col(trigger)]).drop("_n")
+    keep = F.create_map(*[F.lit(x) for kv in counts.items() for x in kv])
+    order = Window.partitionBy(trigger).orderBy(F.desc(score), F.xxhash64(*rows.columns))
+    return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= keep[F.col(trigger)]).drop("_n")

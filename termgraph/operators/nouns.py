@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,34 +27,44 @@ def routed(chunks: DataFrame, english_nouns: bool = True, text: str = "chunk_tex
     )
 
 
-def token_rows(chunks: DataFrame, key: list[str], tokens: str = "tokens") -> DataFrame:
-    """A row a token, with its place."""
-    return chunks.select(*key, F.posexplode(tokens).alias("pos", "t")).select(*key, "pos", "t.form", "t.tag", "t.start", "t.len")
+Test = Callable[[Column], Column]
+
 
+def noun_runs(chunks: DataFrame, key: list[str], is_noun: Test, proper: Test, joiner: str, keep: Callable[[Column, Column, Column], Column], same: Test, tokens: str = "tokens") -> DataFrame:
+    """Maximal runs of noun tokens that ``keep`` (surface, n, proper) accepts, the first of those whose ``same`` is equal in the chunk:
+    (key, first, surface, n, proper).
 
-def noun_runs(chunks: DataFrame, key: list[str], is_noun: Column, proper: Column, joiner: str, tokens: str = "tokens") -> DataFrame:
-    """Maximal runs of noun tokens (gaps and islands): (key, first, surface, n, proper)."""
-    order = Window.partitionBy(*key).orderBy("pos")
-    rows = token_rows(chunks, key, tokens).withColumn("noun", F.coalesce(is_noun, F.lit(False)))
-    runs = rows.withColumn("island", F.sum(F.when(F.col("noun"), 0).otherwise(1)).over(order)).where("noun")
-    joined = runs.groupBy(*key, "island").agg(F.min("pos").alias("first"), F.array_sort(F.collect_list(F.struct("pos", "form"))).alias("p"), F.count(F.lit(1)).alias("n"), F.max(proper).alias("proper"))
-    return joined.select(*key, "first", F.array_join(F.col("p.form"), joiner).alias("surface"), "n", "proper")
+    A run never leaves its chunk, so nothing is shuffled: the nouns are written as marks of one string, all else as a
+    border, and the string is cut at the borders.  Only what is kept becomes a row."""
+    end, border, sep = "\u0001", "\u0002", "\u0003"
 
+    def mark(t: Column, i: Column) -> Column:
+        word = F.concat(F.when(proper(t), "P").otherwise("C"), i.cast("string"), F.lit(sep), F.translate(t["form"], end + border + sep, "\ufffd" * 3))
+        return F.when(F.coalesce(is_noun(t), F.lit(False)), word).otherwise(border)
 
-def _first_of(rows: DataFrame, key: list[str], by: Column) -> DataFrame:
-    order = Window.partitionBy(*key, by).orderBy("first")
-    return rows.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+    def run(r: Column) -> Column:
+        parts = F.filter(F.split(r, end), lambda x: x != "")
+        surface = F.array_join(F.transform(parts, lambda x: F.substring_index(x, sep, -1)), joiner)
+        first = F.substr(F.substring_index(F.get(parts, F.lit(0)), sep, 1), F.lit(2)).cast("int")
+        return F.struct(same(surface).alias("same"), first.alias("first"), surface.alias("surface"), F.size(parts).cast("long").alias("n"), F.exists(parts, lambda x: x.startswith("P")).alias("proper"))
+
+    pieces = F.filter(F.split(F.array_join(F.transform(tokens, mark), end), border), lambda r: r.rlike("[PC]"))
+    kept = F.filter(F.transform(pieces, run), lambda r: keep(r["surface"], r["n"], r["proper"]))
+    ordered = chunks.select(*key, F.array_sort(kept).alias("_r"))
+    one = F.filter("_r", lambda r, i: (i == 0) | (r["same"] != F.get("_r", i - 1)["same"]))
+    return ordered.select(*key, F.explode(one).alias("r")).select(*key, "r.first", "r.surface", "r.n", "r.proper")
 
 
 def korean_nouns(chunks: DataFrame, key: list[str], require_compound: bool = True, max_parts: int = 4, max_len: int = 20) -> DataFrame:
     """Compound nouns of each chunk: (key, first, surface, n, proper), the first of equal ones.
 
     A single common noun is dropped where a compound is required."""
-    rows = noun_runs(chunks, key, F.col("tag").isin("NNG", "NNP"), F.col("tag") == "NNP", "")
-    kept = rows.where(T.full("surface", "[가-힣]{2,}") & ~F.col("surface").isin(*vocab.STOP_KO) & (F.col("n") <= max_parts) & (F.length("surface") <= max_len))
-    if require_compound:
-        kept = kept.where((F.col("n") > 1) | F.col("proper"))
-    return _first_of(kept, key, F.col("surface"))
+
+    def keep(surface: Column, n: Column, proper: Column) -> Column:
+        ok = T.full(surface, "[가-힣]{2,}") & ~surface.isin(*vocab.STOP_KO) & (n <= max_parts) & (F.length(surface) <= max_len)
+        return ok & ((n > 1) | proper) if require_compound else ok
+
+    return noun_runs(chunks, key, lambda t: t["tag"].isin("NNG", "NNP"), lambda t: t["tag"] == "NNP", "", keep, lambda s: s)
 
 
 def last_noun(chunks: DataFrame, key: list[str]) -> DataFrame:
@@ -65,13 +77,16 @@ def english_nouns(chunks: DataFrame, key: list[str], domain: tuple[str, ...] = (
     """The same for English: runs of NN* tokens that are Latin throughout, joined by blanks, equal without case.
 
     A single common noun stays only where it is a word of the domain and not a stop word."""
-    noun = F.col("tag").startswith("NN") & T.full("form", "[A-Za-z][0-9A-Za-z.-]*")
-    rows = noun_runs(chunks, key, noun, F.col("tag").isin("NNP", "NNPS"), " ").withColumn("low", F.lower("surface"))
-    kept = rows.where((F.length("surface") >= 2) & (F.col("n") <= max_words) & (F.length("surface") <= max_len))
-    if require_compound:
-        allowed = F.col("low").isin(*[d.lower() for d in domain if d.lower() not in vocab.STOP_EN]) if domain else F.lit(False)
-        kept = kept.where((F.col("n") > 1) | F.col("proper") | allowed)
-    return _first_of(kept, key, F.col("low")).drop("low")
+    allowed = [d.lower() for d in domain if d.lower() not in vocab.STOP_EN]
+
+    def keep(surface: Column, n: Column, proper: Column) -> Column:
+        ok = (F.length(surface) >= 2) & (n <= max_words) & (F.length(surface) <= max_len)
+        if require_compound:
+            ok = ok & ((n > 1) | proper | (F.lower(surface).isin(*allowed) if allowed else F.lit(False)))
+        return ok
+
+    noun = lambda t: t["tag"].startswith("NN") & T.full(t["form"], "[A-Za-z][0-9A-Za-z.-]*")
+    return noun_runs(chunks, key, noun, lambda t: t["tag"].isin("NNP", "NNPS"), " ", keep, F.lower)
 
 
 def accumulate_classes(mentions: DataFrame, name: str = "name", chunk: str = "chunk_id", existing: DataFrame | None = None) -> DataFrame:

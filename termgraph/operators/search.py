@@ -85,34 +85,59 @@ def class_counts(instances: DataFrame) -> DataFrame:
     return instances.groupBy("class").agg(F.count_distinct("entity").alias("n"))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
-    """(q, id, similarity, place): the exact ``k`` nearest vectors of each query (q, vec) by cosine, ties by id."""
-    pairs = queries.select("q", F.col("vec").alias("_q")).join(vectors.select("id", F.col("vec").alias("_v")))
-    scored = pairs.select("q", "id", F.round(cosine(F.col("_q"), F.col("_v")), 6).alias("similarity"))
-    return scored.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc_nulls_last("similarity"), "id"))).where(F.col("place") <= k)
+def _unit(vecs: pd.Series) -> np.ndarray:
+    width = max((len(x) for x in vecs if x is not None), default=1)
+    m = np.stack([np.asarray(x, np.float64) if x is not None else np.full(width, np.nan) for x in vecs])
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
 def nearest_of_every(vectors: DataFrame, k: int = 10, block: int = 2048) -> DataFrame:
-    """(q, id, similarity, place): like ``nearest`` with every vector (id, vec) as a query, by products of blocks of about ``block`` vectors."""
-    n = max(1, -(-vectors.count() // block))
-    v = vectors.select("id", "vec", F.expr(f"CAST(pmod(hash(id), {n}) AS INT)").alias("_b"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    """(q, id, similarity, place): ``nearest`` with every vector (id, vec) as a query."""
+    return nearest(vectors.select(F.col("id").alias("q"), "vec"), vectors, k, block)
+
+
+def _blocks(a: DataFrame, b: DataFrame, block: int) -> tuple:
+    """Both tables (their first column is the id, the second the vector) in blocks of about ``block`` rows, each block beside each of the other's."""
+    na, nb = (max(1, -(-d.count() // block)) for d in (a, b))
+    place = lambda d, n: F.expr(f"CAST(pmod(hash(`{d.columns[0]}`), {n}) AS INT)")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     # own names on each side: columns of one table aren't told apart in a cogroup
-    left = v.select(F.col("id").alias("q"), F.col("vec").alias("qvec"), F.col("_b").alias("qb"), every.alias("vb"))
-    right = v.select(F.col("id").alias("key"), F.col("vec").alias("kvec"), every.alias("ob"), F.col("_b").alias("kb"))
+    left = a.select(F.col(a.columns[0]).alias("q"), F.col(a.columns[1]).alias("qvec"), place(a, na).alias("qb"), every(nb).alias("vb"))
+    right = b.select(F.col(b.columns[0]).alias("key"), F.col(b.columns[1]).alias("kvec"), every(na).alias("ob"), place(b, nb).alias("kb"))
+    return left.groupBy("qb", "vb").cogroup(right.groupBy("ob", "kb"))
+
+
+def links(vectors: DataFrame, threshold: float, block: int = 2048) -> DataFrame:
+    """(id, links, least): for each vector (id, vec) that has any, the number of others whose cosine (six places) is ``threshold`` or more, and
+    the least id among them; by products of blocks."""
     kind = vectors.schema["id"].dataType.simpleString()
+    v = vectors.select("id", "vec")
+
+    def count(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"id": [], "n": [], "least": []})
+        b = b.sort_values("key", kind="stable", ignore_index=True)
+        keys = b["key"].to_numpy()
+        near = (np.round(_unit(a["qvec"]) @ _unit(b["kvec"]).T, 6) >= threshold) & (a["q"].to_numpy()[:, None] != keys[None])
+        some = near.any(axis=1)
+        return pd.DataFrame({"id": a["q"].to_numpy()[some], "n": near.sum(axis=1)[some], "least": keys[near.argmax(axis=1)[some]]})
+
+    found = _blocks(v, v, block).applyInPandas(count, f"id {kind}, n long, least {kind}")
+    return found.groupBy("id").agg(F.sum("n").alias("links"), F.min("least").alias("least"))
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 2048) -> DataFrame:
+    """(q, id, similarity, place): the exact ``k`` nearest vectors (id, vec) of each query (q, vec) by cosine, ties by id, NULL last.
 
-    def unit(vecs: pd.Series) -> np.ndarray:
-        width = max((len(x) for x in vecs if x is not None), default=1)
-        m = np.stack([np.asarray(x, np.float64) if x is not None else np.full(width, np.nan) for x in vecs])
-        with np.errstate(invalid="ignore", divide="ignore"):
-            return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
+    Products of a block of queries and a block of vectors; each leaves ``k`` rows a query, and a window takes the best of those."""
+    types = queries.schema["q"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"q": [], "id": [], "similarity": []})  # a block without vectors comes without columns
         b = b.sort_values("key", kind="stable", ignore_index=True)
-        s = np.round(unit(a["qvec"]) @ unit(b["kvec"]).T, 6)
+        s = np.round(_unit(a["qvec"]) @ _unit(b["kvec"]).T, 6)
         s[np.isnan(s)] = -np.inf  # NULL comes last
         least = min(k, len(b))
         row, col = np.nonzero(s >= np.partition(s, len(b) - least, axis=1)[:, len(b) - least, None])
@@ -122,7 +147,7 @@ def nearest_of_every(vectors: DataFrame, k: int = 10, block: int = 2048) -> Data
         row, col = row[first], col[first]
         return pd.DataFrame({"q": a["q"].to_numpy()[row], "id": b["key"].to_numpy()[col], "similarity": s[row, col]})
 
-    found = left.groupBy("qb", "vb").cogroup(right.groupBy("ob", "kb")).applyInPandas(best, f"q {kind}, id {kind}, similarity double")
+    found = _blocks(queries.select("q", "vec"), vectors.select("id", "vec"), block).applyInPandas(best, f"q {types[0]}, id {types[1]}, similarity double")
     found = found.withColumn("similarity", F.when(F.col("similarity") >= -2, F.col("similarity")))
     return found.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc_nulls_last("similarity"), "id"))).where(F.col("place") <= k)
 

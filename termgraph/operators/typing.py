@@ -85,8 +85,11 @@ def evidence_ok(candidates: DataFrame, chunks: DataFrame, mode: str = "adj", tex
     test = F.when(F.col("long"), same).otherwise(same if mode == "doc" else near)
     free = asked.where("long" if mode != "adjdoc" else "false").select("label", "concept")
     rest = asked.where("NOT long" if mode != "adjdoc" else "true")
-    # the containment test is a cheap filter before the patterns
-    hit = rest.join(chunks.select(text), F.contains(text, F.col("label")) & F.contains(text, F.col("cue")) & test, "left_semi").select("label", "concept")
+    # labels and texts meet by the label's first two characters; containment is a cheap filter before the patterns
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.col(text).substr(i, F.lit(2)))
+    grams = chunks.select(text, F.explode(F.array_distinct(F.concat(pairs, F.transform(pairs, lambda x: F.substring(x, 1, 1))))).alias("_gram"))
+    keyed = rest.withColumn("_gram", F.substring("label", 1, 2))
+    hit = keyed.join(grams.join(keyed.select("_gram").distinct(), "_gram", "left_semi"), "_gram").where(F.contains(text, F.col("label")) & F.contains(text, F.col("cue")) & test).select("label", "concept")
     return free.unionByName(hit).distinct()
 
 

@@ -18,6 +18,7 @@ from termgraph.functions import text as T
 from termgraph.operators import dedup, entities, hierarchy, nouns, promotion, rdf, relations, svo, typing
 from termgraph.storage import materialise
 
+TRIPLES = "chunk_id string, ord int, subject string, predicate string, object string, inferred_subject boolean, score double"
 ENTITIES = "doc_id string, chunk_id string, ord long, entity string, class string, start int, end int, score double"
 
 
@@ -66,7 +67,7 @@ def build(chunks: DataFrame, tools: Tools, config: Config = Config(), existing:
     ko = routed.where("ko_nouns")
     mentions = spark.createDataFrame([], "name string, chunk_id string")
     definitions = spark.createDataFrame([], "child string, parent string, chunk_id string")
-    triples = spark.createDataFrame([], "chunk_id string, ord int, subject string, predicate string, object string, inferred_subject boolean")
+    triples = spark.createDataFrame([], TRIPLES)
     read = None
     if tools.tokenizer is not None:
         read = materialise(_token_table(ko, tools.tokenizer, "chunk_text").join(ko.select(F.col("chunk_text").alias("name"), "chunk_id"), "name"), "tokens")
@@ -77,12 +78,14 @@ def build(chunks: DataFrame, tools: Tools, config: Config = Config(), existing:
         mentions = mentions.unionByName(nouns.english_nouns(tagged, ["chunk_id"], config.domain_words).select(F.col("surface").alias("name"), "chunk_id"))
     if tools.tokenizer is not None and config.definitions:
         definitions = materialise(_definitions(ko, tools.tokenizer), "definitions")
-    if tools.tokenizer is not None and config.relations:
-        triples = relations.korean_triples(relations.tokenised_sentences(ko, tools.tokenizer), config.carry, config.spaced_nouns)
+    found = materialise(_entities(routed, tools, config), "mentions")
+    if config.relations and channel(tools, config) == "encoder":
+        triples = _encoded(ko, found, tools, config)
+    elif tools.tokenizer is not None and config.relations:
+        triples = relations.korean_triples(relations.tokenised_sentences(ko, tools.tokenizer), config.carry, config.spaced_nouns).withColumn("score", F.lit(None).cast("double"))
     if tools.parser is not None and config.relations and config.english:
         en = routed.where("en_relations").select("chunk_id", F.substring("chunk_text", 1, 2000).alias("chunk_text"))
-        triples = triples.unionByName(relations.english_triples(_parsed(en, tools.parser)).withColumn("inferred_subject", F.lit(False)))
-    found = _entities(routed, tools, config)
+        triples = triples.unionByName(relations.english_triples(_parsed(en, tools.parser)).withColumns({"inferred_subject": F.lit(False), "score": F.lit(None).cast("double")}))
     if config.definitions:
         remaining, found, edges = typing.definitional_types(definitions, found)
     else:
@@ -102,11 +105,44 @@ def build(chunks: DataFrame, tools: Tools, config: Config = Config(), existing:
     n = routed.count()
     judged = promotion.build_gate(classes, tree, found, n, config.gate_chunks)
     stats = promotion.gate_stats(judged, n, config.gate_chunks).crossJoin(routed.agg(F.coalesce(F.sum(F.col("skipped_en").cast("int")), F.lit(0)).alias("skipped_en_chunks")))
-    rels = triples.select("subject", "predicate", "object", F.lit("ObjectProperty").alias("predicate_type"), F.array("chunk_id").alias("source_chunks"), "inferred_subject")
+    triples = triples.withColumn("origin", F.lit("rules"))
+    if config.relations and config.topup_when and tools.language_model is not None:
+        triples = _topped_up(routed.where("ko_relations"), materialise(triples, "triples"), tools, config)
+    rels = triples.select("subject", "predicate", "object", F.lit("ObjectProperty").alias("predicate_type"), F.array("chunk_id").alias("source_chunks"), "inferred_subject", "score", "origin")
     data = spark.createDataFrame([], "entity string, property string, value string, source_chunks array<string>")
     return Graph(judged.where("verdict = 'kept'").drop("verdict"), tree, found, rels, data, stats)
 
 
+def channel(tools: Tools, config: Config) -> str:
+    """Which channel reads Korean relations: the encoder needs its model and an entity model; where one can't be made, rules."""
+    if config.relation_channel not in ("auto", "rules", "encoder"):
+        raise ValueError("relation_channel is 'auto', 'rules' or 'encoder'")
+    if config.relation_channel == "rules" or tools.relation_model is None or tools.ner is None:
+        return "rules"
+    try:
+        tools.relation_model()
+    except Exception:
+        return "rules"
+    return "encoder"
+
+
+def _encoded(ko: DataFrame, found: DataFrame, tools: Tools, config: Config) -> DataFrame:
+    """Triples of the pair classifier over the entities of each sentence."""
+    sentences = ko.select("chunk_id", F.posexplode(relations.split_sentences("chunk_text")).alias("sent", "sentence"))
+    pairs = relations.candidate_pairs(sentences, found.select("chunk_id", "ord", "entity", "class"))
+    got = relations.classified(pairs, tools.relation_model, relations.min_score(config.relation_min_score))
+    return got.select("chunk_id", F.lit(0).alias("ord"), "subject", "predicate", "object", F.lit(False).alias("inferred_subject"), "score")
+
+
+def _topped_up(chunks: DataFrame, triples: DataFrame, tools: Tools, config: Config) -> DataFrame:
+    """``triples`` and those of the language model's replies, as far as the budget goes."""
+    candidates = relations.topup_candidates(chunks.select("chunk_id", "chunk_text"), triples, config.topup_when)
+    budget = relations.Budget(config.topup_max_pct, config.topup_max_usd)
+    replies = relations.call_in_order(candidates, budget, chunks.count(), tools.language_model, tools.usage)
+    new = relations.topped_up(triples, replies).where("origin = 'topup'")
+    return triples.unionByName(new.withColumn("inferred_subject", F.lit(False)), allowMissingColumns=True)
+
+
 def _definitions(chunks: DataFrame, load: Callable) -> DataFrame:
     """(child, parent, chunk_id): tokens for the pieces and for every name that a pattern may propose."""
 
@@ -173,7 +209,11 @@ def _entities(routed: DataFrame, tools: Tools, config: Config) -> DataFrame:
             rows = entities.aligned(rows.join(head, "chunk_id").join(read, "head"), "head").select("chunk_id", "entity", "class", "start", "end", "score")
         if config.span_gate:
             rows = rows.join(head, "chunk_id").where(entities.border_ok("head", "start", "end")).drop("head")
-        out = out.unionByName(_ordered(rows, routed))
+        base = _ordered(rows, routed)
+        if tools.aux_ner is not None:
+            more = _ordered(entities.korean_records(entities.inferred(ko, tools.aux_ner), config.ner_min_score), routed)
+            base = _ordered(entities.united(base, more).select("chunk_id", "entity", "class", "start", "end", "score"), routed)
+        out = out.unionByName(base)
     if tools.english_ner is not None:
         en = routed.where("lang = 'en'")
         out = out.unionByName(_ordered(entities.english_records(entities.inferred(en, tools.english_ner), config.emit_misc), routed))

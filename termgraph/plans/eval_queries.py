@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termgraph import vocab
-from termgraph.operators import dedup, evaluation, relations
+from termgraph.operators import dedup, evaluation, relations, search
 from termgraph.plans.registry import query, table
 
 S = SparkSession
@@ -192,17 +192,17 @@ def dev_split(spark: S, d: str) -> DataFrame:
     return evaluation.held_out(table(spark, d, "labels").select("doc_id"), ["doc_id"])
 
 
-@query(f"WITH {_ROWS} SELECT doc_id, gold FROM rows QUALIFY row_number() OVER (PARTITION BY gold ORDER BY doc_id) <= 40")
+@query(f"WITH {_ROWS} SELECT doc_id, gold FROM rows QUALIFY row_number() OVER (PARTITION BY gold ORDER BY doc_id) <= 8000")
 def per_label_cap(spark: S, d: str) -> DataFrame:
-    """PREP-2: the first 40 of each label."""
-    return evaluation.cap_per_label(_rows(spark, d), 40, ["doc_id"], "gold").select("doc_id", "gold")
+    """PREP-2: the first 8000 of each label."""
+    return evaluation.cap_per_label(_rows(spark, d), 8000, ["doc_id"], "gold").select("doc_id", "gold")
 
 
-@query(f"WITH {_ROWS} SELECT doc_id, pred, CAST(conf AS DOUBLE) AS conf FROM rows QUALIFY row_number() OVER (PARTITION BY pred ORDER BY conf DESC, doc_id) <= 25")
+@query(f"WITH {_ROWS} SELECT doc_id, pred, CAST(conf AS DOUBLE) AS conf FROM rows QUALIFY row_number() OVER (PARTITION BY pred ORDER BY conf DESC, doc_id) <= 2000")
 def per_label_top(spark: S, d: str) -> DataFrame:
-    """PREP-3: the 25 surest of each label."""
+    """PREP-3: the 2000 surest of each label."""
     r = _rows(spark, d).withColumn("conf", F.col("conf").cast("double"))
-    return evaluation.cap_per_label(r, 25, [F.desc("conf"), "doc_id"], "pred").select("doc_id", "pred", "conf")
+    return evaluation.cap_per_label(r, 2000, [F.desc("conf"), "doc_id"], "pred").select("doc_id", "pred", "conf")
 
 
 @query("""WITH r AS (SELECT doc_id, text, regexp_extract(text, '[A-Z][a-z]+') AS s, regexp_extract(text, '[a-z]+[.]') AS o FROM documents)
@@ -240,12 +240,10 @@ def hybrid_sparse(spark: S, d: str) -> DataFrame:
 _COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
 
 
-@query(f"SELECT a.vec_id AS a, b.vec_id AS b, round({_COS}, 6) AS similarity, {_COS} >= 0.3 AS same FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
-def embedding_pairs(spark: S, d: str) -> DataFrame:
-    """DED-11: neighbouring vectors compared by cosine."""
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    pairs = e.select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
-    return dedup.embedding_synonyms(pairs, e, 0.3).withColumn("similarity", F.round("similarity", 6))
+@query(f"SELECT a.vec_id AS id, CAST(count(*) AS BIGINT) AS links, min(b.vec_id) AS least FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id AND round({_COS}, 6) >= 0.3 GROUP BY 1")
+def embedding_links(spark: S, d: str) -> DataFrame:
+    """DED-11: how many vectors each one is close to, of all."""
+    return search.links(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), 0.3)
 
 
 _LABELS = ", ".join(f"({i}, '{n}')" for i, n in enumerate(vocab.RELATIONS))

@@ -12,6 +12,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from termgraph.operators.citations import ARTICLE, CARRY, OTHER_SCOPE
 
+def _files(spark: SparkSession, where: str):
+    """(Hadoop file system, path) of a folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path
+
+
 REFERENCES = "doc_id string, grp string, ref string, seq long, at long"
 
 
@@ -61,8 +67,32 @@ class CountStore:
     def fold(self, counts: DataFrame, batch: int) -> None:
         counts.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
 
+    def _parts(self) -> tuple[int, list[str]]:
+        """(last batch that a sum covers or -1, folders to read): the newest finished sum and the batches after it."""
+        fs, path = _files(self.spark, self.path)
+        names = [s.getPath().getName() for s in fs.listStatus(path)]
+        done = max([int(n[4:]) for n in names if n.startswith("sum-") and fs.exists(path.suffix(f"/{n}/_SUCCESS"))], default=-1)
+        later = [n for n in names if n.startswith("batch=") and int(n[6:]) > done]
+        return done, [f"{self.path}/{n}" for n in ([f"sum-{done}"] if done >= 0 else []) + later]
+
+    def compact(self, upto: int) -> None:
+        """Fold the batches up to ``upto`` (none of which will be run again) into one sum.  The sum counts from the moment it is
+        finished, instead of what it covers; only then are those folders removed, so a loss at any point changes no total."""
+        done, parts = self._parts()
+        covered = [p for p in parts if "/sum-" in p or int(p.rsplit("=", 1)[1]) <= upto]
+        if upto > done and len(covered) > 1:
+            self._sum(covered).write.mode("overwrite").parquet(f"{self.path}/sum-{upto}")
+        fs, path = _files(self.spark, self.path)
+        keep = {p.rsplit("/", 1)[1] for p in self._parts()[1]}
+        for s in fs.listStatus(path):
+            if s.getPath().getName() not in keep:
+                fs.delete(s.getPath(), True)
+
+    def _sum(self, parts: list[str]) -> DataFrame:
+        return self.spark.read.parquet(*parts).groupBy(*self.keys).agg(F.sum(self.value).alias(self.value))
+
     def total(self) -> DataFrame:
-        return self.spark.read.option("basePath", self.path).parquet(f"{self.path}/batch=*").groupBy(*self.keys).agg(F.sum(self.value).alias(self.value))
+        return self._sum(self._parts()[1])
 
 
 def cooccurrence_sink(spark: SparkSession, path: str, max_entities: int = 60):

@@ -247,12 +247,14 @@ def test_linked_and_class_head(spark):
 
 TEXTS = {
     "d1": ["보험업/NNP", "생명/NNG 보험업/NNP 은/JX 보험업/NNP 이/VCP 다/EF"],
-    "d2": ["손해/NNG 보험업/NNP 은/JX 위험/NNG 을/JKO 인수/NNG 하/XSV ᆫ다/EF", "화재/NNG 보험업/NNP 과/JC 서울/NNP"],
+    # a blank between nouns begins the subject anew (REL-2 without the option that keeps blanks): 보험업, not 손해보험업
+    # the last chunk has more Hangul than Latin letters, tags counted: it is Korean by LNG-1
+    "d2": ["손해/NNG 보험업/NNP 은/JX 위험/NNG 을/JKO 인수/NNG 하/XSV ᆫ다/EF", "화재/NNG 보험업/NNP 과/JC 서울에서영업하는모든회사들/NNP"],
 }
 
 
 def _tools():
-    ner = lambda: lambda texts: [[{"word": "서울/NNP", "entity_group": "LC", "score": 0.9, "start": 0, "end": 2}] if "서울" in t else [] for t in texts]
+    ner = lambda: lambda texts: [[{"word": "서울", "entity_group": "LC", "score": 0.9, "start": 0, "end": 2}] if "서울" in t else [] for t in texts]
     return Tools(tokenizer=lambda: tok, ner=ner)
 
 
@@ -264,11 +266,95 @@ def test_whole_build_with_an_injected_tokenizer(spark):
     assert ("보험업", "인수", "위험") in {(r.subject, r.predicate, r.object) for r in g.relations.collect()}
     assert g.data_properties.count() == 0 and g.stats.first().df_gate_active is False and triples.count() > 4
     assert g.entities.count() == 1
+    assert {r.origin for r in g.relations.collect()} == {"rules"}
     again = build.build(chunks.limit(0), _tools(), existing=build.build(chunks, _tools()))
     assert {"생명보험업", "손해보험업"} <= {r.name for r in again.classes.collect()}
     assert build.build(chunks, Tools()).classes.count() == 0
 
 
+def _encoder_tools(relation_model=None, **more):
+    from dataclasses import replace
+
+    spans = lambda t: [{"word": w, "entity_group": g, "score": 0.9, "start": t.index(w), "end": t.index(w) + len(w)} for w, g in (("홍길동", "PS"), ("서울", "LC")) if w in t]
+    plain = lambda t: [(w, "NNP", t.index(w), len(w)) for w in t.replace(".", " ").split()]
+    return replace(Tools(tokenizer=lambda: plain, ner=lambda: lambda texts: [spans(t) for t in texts], relation_model=relation_model), **more)
+
+
+def _one_chunk(spark, text="홍길동 서울 출신"):
+    return spark.createDataFrame([("d", 0, "d#0", 0, text), ("d", 0, "d#1", 1, "가나다라마바사")], "doc_id string, doc_seq long, chunk_id string, chunk_seq int, chunk_text string")
+
+
+def test_build_takes_the_encoder_channel_or_falls_back(spark):
+    model = lambda: lambda texts: [("per:origin", 0.9)] * len(texts)
+
+    def broken():
+        raise OSError("no model here")
+
+    assert build.channel(_encoder_tools(model), Config()) == "encoder"
+    assert {build.channel(_encoder_tools(m), c) for m, c in ((broken, Config()), (None, Config()), (model, Config(relation_channel="rules")))} == {"rules"}
+    with pytest.raises(ValueError):
+        build.channel(Tools(), Config(relation_channel="x"))
+    rels = build.build(_one_chunk(spark), _encoder_tools(model)).relations.collect()
+    assert [(r.subject, r.predicate, r.object, r.score) for r in rels] == [("홍길동", "per:origin", "서울", 0.9)]
+
+
+def test_build_tops_up_within_the_budget_and_unites_entities(spark):
+    reply = json.dumps({"triples": [{"s": "가나", "p": "다", "o": "라"}]}, ensure_ascii=False)
+    calls = []
+    ask = lambda t: calls.append(t) or reply
+    aux = lambda: lambda texts: [[{"word": w, "entity_group": "OG", "score": 0.9, "start": 0, "end": 2} for w in ("가나다", "홍길동", "abc") if w == "abc" or w in t] for t in texts]
+    g = build.build(_one_chunk(spark), _encoder_tools(language_model=ask, aux_ner=aux), Config(topup_when="empty", topup_max_pct=0.5))
+    assert len(calls) == 1 and [(r.subject, r.origin) for r in g.relations.collect()] == [("가나", "topup")]
+    assert {(r.chunk_id, r.entity, r["class"]) for r in g.entities.collect()} == {("d#0", "홍길동", "인물"), ("d#0", "서울", "지역"), ("d#1", "가나다", "기관")}
+    none = build.build(_one_chunk(spark), _encoder_tools(language_model=ask), Config(topup_when="empty", topup_max_pct=0.0))
+    assert len(calls) == 1 and none.relations.count() == 0
+
+
+def test_capped_counts_are_those_of_single_steps():
+    rng = random.Random(9)
+    for _ in range(300):
+        counts = {k: rng.choice([0, 1, 5, 50, rng.randrange(400)]) for k in "abcd"[: rng.randrange(1, 5)]}
+        share = rng.choice([0.25, 0.3, 0.4, 0.45, 0.5])
+        want = dict(counts)
+        while want and len(want) * share >= 1:
+            over = [t for t, n in want.items() if n * 100 > round(share * 100) * sum(want.values())]
+            if not over:
+                break
+            for t in over:
+                want[t] -= 1
+        assert evaluation.capped_counts(counts, share) == want, (counts, share)
+
+
+def test_compacted_counts_stay_the_same(spark, tmp_path):
+    store = incremental.CountStore(spark, str(tmp_path / "c"), ["k"])
+    for b in range(4):
+        store.fold(spark.createDataFrame([("x", b), ("y", 1)], "k string, n long"), b)
+    want = {"x": 6, "y": 4}
+    for upto in (1, 1, 2, 3):
+        store.compact(upto)
+        assert {r.k: r.n for r in store.total().collect()} == want
+    store.fold(spark.createDataFrame([("y", 1)], "k string, n long"), 4)
+    assert {r.k: r.n for r in store.total().collect()} == {"x": 6, "y": 5} and len(list((tmp_path / "c").iterdir())) == 2
+
+
+def test_links_of_vectors_are_those_of_all_pairs(spark):
+    rng = random.Random(10)
+    vecs = [[rng.choice((-1.0, 0.0, 1.0)) for _ in range(4)] for _ in range(50)] + [None, [0.0] * 4]
+    unit = lambda v: [x / sum(y * y for y in v) ** 0.5 for x in v]
+    near = lambda a, b: a is not None and b is not None and any(a) and any(b) and round(sum(x * y for x, y in zip(unit(a), unit(b))), 6) >= 0.5
+    want = {i: [j for j, b in enumerate(vecs) if j != i and near(a, b)] for i, a in enumerate(vecs)}
+    got = search.links(spark.createDataFrame(list(enumerate(vecs)), "id long, vec array<double>"), 0.5, block=11)
+    assert {r.id: (r.links, r.least) for r in got.collect()} == {i: (len(js), js[0]) for i, js in want.items() if js}
+
+
+def test_noun_runs_do_not_shuffle(spark):
+    rows = [(1, [("큰", "VA"), ("생명", "NNG"), ("보험", "NNG"), ("은", "JX"), ("생명", "NNG"), ("보험", "NNG"), ("업", "NNG")]), (2, [("가\x01나", "NNP")]), (3, None), (4, [])]
+    df = spark.createDataFrame([(i, None if t is None else [(f, g, 0, len(f)) for f, g in t]) for i, t in rows], f"chunk_id long, tokens {vocab.TOKENS}")
+    out = nouns.korean_nouns(df, ["chunk_id"])
+    assert [(r.chunk_id, r["first"], r.surface, r.n, r.proper) for r in out.orderBy("chunk_id", "first").collect()] == [(1, 1, "생명보험", 2, False), (1, 4, "생명보험업", 3, False)]
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_streams_equal_batches(spark, tmp_path):
     rng = random.Random(8)
     rows = [(f"c{c}", k) for c in range(30) for k in rng.sample("abcdefgh", 3)]
@@ -291,8 +377,8 @@ def test_streams_equal_batches(spark, tmp_path):
 def test_streamed_citations_carry_the_tail(spark, tmp_path):
     parts = [[("d", "L", "제1조와 제1", 0), ("e", "L", "제", 0)], [("d", "L", "2조 그리고 제1조", 1), ("e", "L", "3조", 1)]]
     schema = "doc_id string, law string, text string, seq long"
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     for p in parts:
         spark.createDataFrame(p, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         q = incremental.citation_references(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
