@@ -168,6 +168,14 @@ def embedding_synonyms(pairs: DataFrame, vectors: DataFrame, threshold: float) -
     return j.withColumn("same", F.coalesce(F.col("similarity") >= threshold, F.lit(False))).drop("_a", "_b")
 
 
+def same_by_any(pairs: DataFrame, channels: list[DataFrame]) -> DataFrame:
+    """``pairs`` (a, b) with ``same``: whether any of ``channels`` (tables of pairs that one resolver holds to be one) has the pair, either way round."""
+    ordered = lambda d: d.select(F.least("a", "b").alias("_x"), F.greatest("a", "b").alias("_y"))
+    said = reduce(DataFrame.union, [ordered(c) for c in channels]).distinct().withColumn("_said", F.lit(True))
+    j = pairs.withColumns({"_x": F.least("a", "b"), "_y": F.greatest("a", "b")}).join(said, ["_x", "_y"], "left")
+    return j.select(*pairs.columns, F.coalesce("_said", F.lit(False)).alias("same"))
+
+
 def linked_same(pairs: DataFrame, links: DataFrame, top_only: bool = False) -> DataFrame:
     """``pairs`` (a, b) with ``same``: whether their knowledge-base ids (``links``: name, ids in rank order) meet, or the first are equal."""
     v = lambda c: links.select(F.col("name").alias(c), F.col("ids").alias(f"_{c}"))

@@ -6,7 +6,7 @@ from termgraph.plans.registry import QUERIES, SQL, Query
 
 
 def queries() -> dict[str, Query]:
-    from termgraph.plans import eval_queries, fixture_queries, graph_queries  # noqa: F401 (they register themselves)
+    from termgraph.plans import eval_queries, fixture_queries, graph_queries, source_queries  # noqa: F401 (they register themselves)
 
     return dict(QUERIES)
 

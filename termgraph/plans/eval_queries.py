@@ -78,7 +78,7 @@ def _pairs(spark: S, d: str) -> DataFrame:
 
 @query(f"WITH {_PAIRS}, n AS (SELECT sum(CASE WHEN pos AND dist <= 4 THEN 1 ELSE 0 END)::BIGINT AS tp, sum(CASE WHEN NOT pos AND dist <= 4 THEN 1 ELSE 0 END)::BIGINT AS fp, sum(CASE WHEN pos AND dist > 4 THEN 1 ELSE 0 END)::BIGINT AS fn FROM cross_), p AS (SELECT *, {_PRF} FROM n), f AS (SELECT *, {_F1} FROM p) SELECT tp, fp, fn, {_OUT} FROM f")
 def pair_prf(spark: S, d: str) -> DataFrame:
-    """EVA-5, DED-13: pairs in either order, each once."""
+    """EVA-5: pairs in either order, each once."""
     p = _pairs(spark, d)
     flipped = p.where("dist <= 4").select(F.col("b").alias("a"), F.col("a").alias("b"))
     return _rounded(evaluation.pair_prf(p.where("pos").union(p.where("pos")).select("a", "b"), p.where("NOT pos").select("a", "b"), flipped.union(flipped)))

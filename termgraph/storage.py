@@ -2,11 +2,13 @@
 
 A table that several later plans read is written once to the folder that every
 executor can reach (``spark.checkpoint.dir``) and read back as Parquet.  Losing
-an executor then costs a re-read, never a result.
+an executor then costs a re-read, never a result.  The tables of a driver process lie in one folder, which it
+removes when it ends.
 """
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -25,10 +27,34 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_RUN = uuid.uuid4().hex
+_written: set[str] = set()
+
+
+def table_path(spark: SparkSession, label: str) -> str:
+    """A new path among this process's tables."""
+    own = f"{shared_dir(spark)}/tables/{_RUN}"
+    if not _written:
+        atexit.register(discard, spark)
+    _written.add(own)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession) -> None:
+    """Remove every table that this process has written; nothing that was read from them can be read again."""
+    for own in list(_written):
+        try:
+            path = spark._jvm.org.apache.hadoop.fs.Path(own)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # the JVM has gone before: the folder's name tells that it is left over
+            pass
+        _written.discard(own)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back (lineage cut)."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
+    path = table_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
