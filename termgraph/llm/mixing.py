@@ -280,16 +280,16 @@ class Table:
             self.words[a * 16 : (a << 4) + (16 << 16)] = np.ascontiguousarray(wide[a : a + (1 << 16), _PATH]).view(np.int32).ravel()
 
     def look(self, keys: np.ndarray, nibble: np.ndarray, out: np.ndarray) -> None:
-        """Log-odds of the four bits of a half byte into ``out`` (n, 4); 0 where the context isn't in the table."""
-        block, tag = (keys >> self.shift).astype(np.int64), tag_of(keys)
-        known = self.tags[block] == tag
-        other = np.flatnonzero(~known)  # at the place beside, or nowhere
-        block[other] ^= 1
-        known[other] = self.tags[block[other]] == tag[other]
-        known = known * np.float32(1 / SCALE)
+        """The words of a half byte's four log-odds into ``out`` (n); 0 where the context isn't in the table."""
+        block, tag = (keys >> self.shift).view(np.int64), tag_of(keys)
+        away = np.flatnonzero(self.tags[block] != tag)  # at the place beside, or nowhere
+        beside = block[away] ^ 1
+        block[away] = beside
         block <<= 4
         block |= nibble
-        np.multiply(self.words[block].view(np.int8).reshape(-1, 4), known[:, None], out=out)
+        words = self.words[block]
+        words[away[self.tags[beside] != tag[away]]] = 0
+        out[:] = words
 
 
 class _Room:
@@ -297,7 +297,7 @@ class _Room:
 
     def __init__(self, n: int):
         f = np.float32
-        self.x = np.empty((K, n, 8), f)
+        self.x, self.words = np.empty((K, n, 8), f), np.empty((n, 2), np.int32)
         self.s, self.sign, self.u, self.more, self.error = (np.empty((n, 8), f) for _ in range(5))
         self.bins, self.cell = np.empty((n, 8), np.int64), np.empty((n, 8), np.int64)
 
@@ -314,7 +314,7 @@ def _lanes(raw: np.ndarray, h: np.ndarray, half: np.ndarray, starts: np.ndarray,
     for at, width in steps(int(sizes[0])):
         live = int(np.searchsorted(-sizes, -at, "left"))
         m = live * width
-        s, sign, u, more, error, bins, cell = (a[:m] for a in (room.s, room.sign, room.u, room.more, room.error, room.bins, room.cell))
+        s, sign, u, more, error, bins, cell, words = (a[:m] for a in (room.s, room.sign, room.u, room.more, room.error, room.bins, room.cell, room.words))
         step = np.arange(at, at + width)
         inside = step < sizes[:live, None]
         place = (np.minimum(step, sizes[:live, None] - 1) + starts[:live, None]).ravel()
@@ -325,8 +325,9 @@ def _lanes(raw: np.ndarray, h: np.ndarray, half: np.ndarray, starts: np.ndarray,
         for k in range(K):  # predictors one by one, each in an array without gaps
             x = room.x[k, :m]
             keys = upper_keys(past, side, k)
-            table.look(keys, upper, x[:, :4])
-            table.look(lower_keys(keys, upper), lower, x[:, 4:])
+            table.look(keys, upper, words[:, 0])
+            table.look(lower_keys(keys, upper), lower, words[:, 1])
+            np.multiply(words.view(np.int8), np.float32(1 / SCALE), out=x)
             np.take(weight[k], own, axis=0, out=more if k else s, mode="clip")
             if k:
                 more *= x
