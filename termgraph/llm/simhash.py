@@ -5,17 +5,21 @@ text, of each word's random bits.  Two documents are near copies when their fing
 most ``max_distance`` bits (44: about one distinct word in eight changed; unrelated texts differ in 77 or more).
 
 1. Equal fingerprints are put together; the rest works on distinct fingerprints.
-2. Candidates: two fingerprints that agree on all bits of one of ``tables`` random bit subsets.  The bits follow from the
-   number of fingerprints, so that buckets stay small, and the tables from the bits, so that a pair at the very limit of
-   ``max_distance`` meets with a chance of ``recall`` (0.9; a pair at half the limit with more than 0.999) at any size.
+2. Candidates: the bits are cut into 15 parts (23 for few fingerprints).  Of two fingerprints within ``max_distance`` some part
+   differs in at most two bits (one bit), so each fingerprint looks, part by part, at those whose part is its own with at most so many
+   bits flipped; a pair whose first 128 bits differ in more than ``max_distance`` goes.  No near copy is lost by either.
 3. Pivot tables: each word's Hamming distances to 64 reference fingerprints are precomputed.  By the triangle
    inequality no distance is less than the largest difference of two such coordinates, and of two near copies some word
    differs in at most ``max_distance // 4`` bits; a pair for which every word's largest coordinate difference is above that is
    discarded.  No near copy is lost by it.
 4. Survivors are verified on all 256 bits.
-5. Each bucket sends the edges of a spanning star of its verified groups, not all pairs, and connected components
-   over all buckets give the groups.  A bucket grows its groups one by one: what is in a group is compared with what is in none, so that
-   a bucket of near copies costs a pass over it, not a pass a row.  There is no cap on bucket, partners or group size.
+5. The fingerprints are put into blocks by their hash, and every pair of blocks is searched by one task; it sends the edges of
+   a spanning star of its verified groups, not all pairs, and connected components over all tasks give the groups.  Parts that more than ``SMALL`` squared
+   pairs share grow their groups one by one: what is in a group is compared with what is in none, so that near copies cost a pass
+   over them, not a pass a row.  There is no cap on parts, partners or group size: the groups are those of all pairs.
+
+The work grows with the square of the number of distinct fingerprints (under 2 % of the pairs are looked at), what is shuffled with
+the number of blocks.
 
 Defined cases: ids of any type that can be ordered; a text without a word (NULL, empty, punctuation) has no fingerprint and is copy of nothing; of a group
 the smallest id stays; ``id`` names a document: rows that repeat an id are one document and leave one row, that
@@ -25,9 +29,9 @@ are kept, whatever their names.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +45,17 @@ from termgraph.storage import fresh_name, materialise
 WORDS = 4
 BITS = 64 * WORDS
 MAX_DISTANCE = 44
-RECALL = 0.9
 PIVOTS = 64
+PART_BITS = 18
+BLOCKS = 8  #: of distinct fingerprints, so that all cores have pairs of blocks; more where a block would have over MOST_ROWS
+LEAST_ROWS, MOST_ROWS = 1 << 12, 1 << 19
+FEW = 1 << 21  #: pairs that are looked at without parts
+MANY = 1 << 13  #: fingerprints from which parts are longer
 FEATURE_BITS = 16
 _F = [f"f{i}" for i in range(WORDS)]
 _BLOCK = 1 << 18
-SMALL = 64  #: rows of a bucket whose pairs are looked at side by side with other buckets'
+_STEP = 1 << 15  #: pairs at a time, so that they stay in a core's cache
+SMALL = 256  #: two buckets of more than SMALL**2 pairs grow groups
 
 
 @lru_cache(maxsize=1)
@@ -103,65 +112,145 @@ def close_pairs(a: np.ndarray, b: np.ndarray, prints: np.ndarray, table: np.ndar
     return near
 
 
-def layout(n: int, recall: float = RECALL, max_distance: int = MAX_DISTANCE) -> tuple[int, int]:
-    """(bits a table, tables) for n distinct fingerprints."""
-    bits = max(16, math.ceil(math.log2(max(n, 2))) - 5)
-    return bits, math.ceil(math.log(1 - recall) / math.log1p(-((1 - max_distance / BITS) ** bits)))
+def parts(max_distance: int, most: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of the parts of a fingerprint: of two within ``max_distance``, some part differs in at most ``most`` bits."""
+    n = -(-(max_distance + 1) // (most + 1))  # were every part to differ in most + 1 or more, all of them would in more than max_distance
+    cut = [BITS * i // n for i in range(n + 1)]
+    return [(x, min(y - x, PART_BITS)) for x, y in zip(cut, cut[1:])]
+
+
+def part_keys(prints: np.ndarray, first: int, bits: int) -> np.ndarray:
+    word, shift = divmod(first, 64)
+    key = prints[:, word] >> np.uint64(shift)
+    if shift + bits > 64:
+        key |= prints[:, word + 1] << np.uint64(64 - shift)
+    return (key & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def flips(bits: int, most: int) -> list[int]:
+    """Every way in which at most ``most`` of so many bits differ."""
+    return [sum(1 << b for b in own) for n in range(most + 1) for own in combinations(range(bits), n)]
+
+
+def links(prints: np.ndarray, first: int, max_distance: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links that join all near copies among the fingerprints or, where there are others after the ``first`` ones, between
+    those and the others."""
+    n, own = len(prints), first == len(prints)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    root = np.arange(n)
+    others = n - (0 if own else first)
+    most = 1 if others < MANY else 2  # fewer ways, or fewer fingerprints each
+    for at, bits in [(0, 0)] if first * others <= FEW else parts(max_distance, most):
+        new: list[tuple[np.ndarray, np.ndarray]] = []
+        key = part_keys(prints, at, bits)
+        left = np.argsort(key[:first], kind="stable")
+        right = left if own else first + np.argsort(key[first:], kind="stable")
+        kept = key[left]
+        held = np.bincount(key[right], minlength=1 << bits).astype(np.int32)
+        start, size = np.concatenate(([0], np.cumsum(held))), np.bincount(kept, minlength=1 << bits)
+        full = int(held.max()) * int(size.max()) > SMALL * SMALL
+        x, y = (np.ascontiguousarray(prints[rows, :2]).view(np.complex128).ravel() for rows in (left, right))  # half the bits of each as one value to fetch
+        if full:
+            one = [_joined(root[r], key[r], bits, none) for r, none in ((left, -1), (right, -2))]
+        for flip in flips(bits, most):
+            partner = kept ^ flip
+            many = held[partner]
+            if own:  # each pair once
+                many = start[kept + 1] - np.arange(1, n + 1) if not flip else many * (partner > kept)
+            rows = np.flatnonzero(many)
+            low = rows + 1 if own and not flip else start[partner[rows]]
+            many = many[rows]
+            if full:
+                open_ = one[0][kept[rows]] != one[1][partner[rows]]  # else all of both is joined already
+                rows, low, many = rows[open_], low[open_], many[open_]
+                dense = size[kept[rows]] * held[partner[rows]] > SMALL * SMALL
+                for v in np.unique(kept[rows[dense]]):
+                    both = np.union1d(left[np.searchsorted(kept, v) : np.searchsorted(kept, v, "right")], right[start[v ^ flip] : start[(v ^ flip) + 1]])
+                    if (root[both] != root[both[0]]).any():
+                        near = grown(np.arange(len(both)), prints[both], pivot_table(prints[both]), max_distance)
+                        found += [(both[a], both[b]) for a, b in near]  # chains of near copies, verified
+                if dense.any() and found:
+                    root = _roots(n, found)
+                    one = [_joined(root[r], key[r], bits, none) for r, none in ((left, -1), (right, -2))]
+                rows, low, many = rows[~dense], low[~dense], many[~dense]
+            for s in range(0, len(rows), _STEP):
+                take, at_, left_ = rows[s : s + _STEP], low[s : s + _STEP], many[s : s + _STEP]
+                while len(take) > _STEP // 32:  # the first of each row's partners, the second, ..., while they are many
+                    new.append(_near(x, y, take, at_, left, right, max_distance))
+                    more = np.flatnonzero(left_ > 1)
+                    take, at_, left_ = take[more], at_[more] + 1, left_[more] - 1
+                upto = np.cumsum(left_)
+                t = 0
+                while t < len(take):  # the rest of them row by row
+                    z = max(t + 1, int(np.searchsorted(upto, (upto[t - 1] if t else 0) + _STEP, "right")))
+                    before = upto[t:z] - left_[t:z]
+                    new.append(_near(x, y, np.repeat(take[t:z], left_[t:z]), np.arange(before[0], upto[z - 1]) + np.repeat(at_[t:z] - before, left_[t:z]), left, right, max_distance))
+                    t = z
+        a, b = (np.concatenate([f[i] for f in new]) if new else np.zeros(0, np.int64) for i in (0, 1))
+        open_ = root[a] != root[b]  # the rest is joined already
+        a, b = a[open_], b[open_]
+        near = [np.zeros(0, bool)] + [_verified(a[s : s + _BLOCK // 4], b[s : s + _BLOCK // 4], prints, max_distance) for s in range(0, len(a), _BLOCK // 4)]
+        near = np.concatenate(near)
+        found.append((a[near], b[near]))
+        root = _roots(n, found)
+    return found
 
 
-def _masks(bits: int, tables: int) -> list[list[int]]:
-    rng = np.random.default_rng(13)
-    out, order = [], np.zeros(0, np.int64)
-    for _ in range(tables):
-        while len(order) < bits:
-            order = np.concatenate([order, rng.permutation(BITS)])
-        chosen, order = set(order[:bits].tolist()), order[bits:]
-        out.append([sum(1 << (b % 64) for b in chosen if b // 64 == w) for w in range(WORDS)])
+def _joined(root: np.ndarray, kept: np.ndarray, bits: int, none: int) -> np.ndarray:
+    """For each key the one root of its rows, or ``none``; rows come sorted by key."""
+    out, at = np.full(1 << bits, none), runs(kept)
+    low, high = np.minimum.reduceat(root, at[:-1]), np.maximum.reduceat(root, at[:-1])
+    out[kept[at[:-1]]] = np.where(low == high, low, none)
     return out
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def _near(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray, max_distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that half the bits don't put above ``max_distance``."""
+    apart = x[a].view(np.uint64)
+    apart ^= y[b].view(np.uint64)
+    apart = np.bitwise_count(apart)
+    near = np.flatnonzero(apart[::2] + apart[1::2] <= max_distance)
+    return left[a[near]], right[b[near]]
+
+
+def _roots(n: int, found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    return local_roots(n, *(np.concatenate([f[i] for f in found]) for i in (0, 1)))
+
+
+def _verified(a: np.ndarray, b: np.ndarray, prints: np.ndarray, max_distance: int) -> np.ndarray:
+    rows, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    return close_pairs(place[: len(a)], place[len(a) :], prints[rows], pivot_table(prints[rows]), max_distance)
 
 
 def _bucket_edges(max_distance: int):
-    """Edges of the spanning stars of the verified groups of each bucket; rows come sorted by bucket."""
-
-    def edges_of(key: np.ndarray, ids: pa.Array, prints: np.ndarray) -> pa.RecordBatch:
-        at = runs(key)
-        size = np.repeat(np.diff(at), np.diff(at))
-        table, found = np.zeros((len(key), 0, 0), np.int8), []
-        if (size > 1).any():
-            table = np.zeros((len(key), WORDS, PIVOTS), np.int8)
-            table[size > 1] = pivot_table(prints[size > 1])
-        rows, shift = np.flatnonzero((size > 1) & (size <= SMALL)), 1
-        while len(rows):
-            rows = rows[rows + shift < len(key)]
-            rows = rows[key[rows + shift] == key[rows]]
-            for s in range(0, len(rows), _BLOCK):
-                a = rows[s : s + _BLOCK]
-                a = a[close_pairs(a, a + shift, prints, table, max_distance)]
-                found.append((a, a + shift))
-            shift += 1
-        for i in np.flatnonzero(np.diff(at) > SMALL):
-            found += grown(np.arange(at[i], at[i + 1]), prints, table, max_distance)
-        a, root = _star(len(key), found)
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(root))], names=["a", "b"])
+    """Edges of the spanning stars of the near copies of each key, from (key, id, f0..f3[, side]); rows come sorted by key.  Where a
+    key has two sides, links are sought between them alone."""
+
+    def edges_of(ids: pa.Array, prints: np.ndarray, side: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(side, kind="stable")
+        first = int((side == side[order[0]]).sum())
+        a, root = _star(len(order), links(prints[order], first, max_distance))
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(order[a])), ids.take(pa.array(order[root]))], names=["a", "b"])
+
+    def of(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        prints = np.stack([np.concatenate([b.column(2 + w).to_numpy(zero_copy_only=False) for b in held]) for w in range(WORDS)], axis=1).view(np.uint64)
+        side = np.concatenate([b.column(2 + WORDS).to_numpy(zero_copy_only=False) if b.num_columns > 2 + WORDS else np.zeros(b.num_rows, np.int32) for b in held])
+        return edges_of(pa.concat_arrays([b.column(1) for b in held]), prints, side)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None
+        held: list[pa.RecordBatch] = []
+        last = None
         for b in batches:
-            if not b.num_rows:
-                continue
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in (0, *range(2, 2 + WORDS))]
-            new = (cols[0], b.column(1), np.stack(cols[1:], axis=1).view(np.uint64))
-            held = new if held is None else (np.concatenate([held[0], new[0]]), pa.concat_arrays([held[1], new[1]]), np.concatenate([held[2], new[2]]))
-            cut = int(np.searchsorted(held[0], held[0][-1], "left"))  # the last bucket may go on
-            if cut:
-                yield edges_of(held[0][:cut], held[1][:cut], held[2][:cut])
-                held = (held[0][cut:], held[1][cut:], held[2][cut:])
-        if held is not None:
-            yield edges_of(*held)
+            key = b.column(0).to_numpy(zero_copy_only=False)
+            at = runs(key)
+            for x, y in zip(at[:-1], at[1:]):
+                if held and key[x] != last:
+                    yield of(held)
+                    held = []
+                last = key[x]
+                held.append(b.slice(int(x), int(y - x)))
+        if held:
+            yield of(held)
 
     return run
 
@@ -169,7 +258,7 @@ def _bucket_edges(max_distance: int):
 def _star(n: int, found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    root = local_roots(n, np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
+    root = _roots(n, found)
     a = np.flatnonzero(root != np.arange(n))
     return a, root[a]
 
@@ -211,11 +300,13 @@ def groups(docs: DataFrame, text: str = "text", id: str = "doc_id", max_distance
     one = table.groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.min(F.when(F.col("f0").isNotNull(), F.struct(*_F))).alias("f")).select("id", "rows", "f.*")
     own = materialise(one.withColumn("rep", F.when(F.col("f0").isNull(), F.col("id")).otherwise(F.min("id").over(Window.partitionBy(*_F)))), "representatives")
     distinct = own.where("f0 IS NOT NULL AND id = rep").select("id", *_F)
-    bits, tables = layout(distinct.count(), RECALL, max_distance)
-    keys = F.array(*[F.xxhash64(F.lit(t), *[F.col(f).bitwiseAND(F.lit(_signed(m)).cast("long")) for f, m in zip(_F, mask)]) for t, mask in enumerate(_masks(bits, tables))])
+    n = distinct.count()
+    blocks = max(1, min(BLOCKS, n // LEAST_ROWS), -(-n // MOST_ROWS))
+    block, other = F.pmod(F.xxhash64(*_F), F.lit(blocks)), F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))
+    turns = F.transform(other, lambda j: F.struct((F.least(F.col("block"), j) * blocks + F.greatest(F.col("block"), j)).alias("key"), (F.col("block") > j).cast("int").alias("side")))
     kind = docs.schema[id].dataType.simpleString()
-    spread = distinct.select(F.explode(keys).alias("key"), "id", *_F)
-    edges = spread.repartition(F.col("key")).sortWithinPartitions("key", "id").mapInArrow(_bucket_edges(max_distance), f"a {kind}, b {kind}")
+    spread = distinct.withColumn("block", block).select("id", *_F, F.explode(turns).alias("turn")).select("turn.key", "id", *_F, "turn.side")
+    edges = spread.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_bucket_edges(max_distance), f"a {kind}, b {kind}")
     roots = connected(edges)
     return own.join(roots, own.rep == roots.node, "left").select("id", F.coalesce("root", "rep").alias("group_id"), "rows")
 

@@ -67,19 +67,39 @@ def test_simhash_against_brute_force(spark):
     assert all(root[i] == root[g] for i, g in group.items()), "a group holds documents that no chain of near copies links"
 
 
-def test_simhash_layout_reaches_its_recall_at_the_limit():
-    for n in (10, 10**4, 10**6, 10**8, 10**10):
-        bits, tables = simhash.layout(n)
-        miss = (1 - (1 - simhash.MAX_DISTANCE / simhash.BITS) ** bits) ** tables
-        assert miss <= 1 - simhash.RECALL and n / 2**bits < 64
+@pytest.mark.parametrize("most", [1, 2])
+def test_simhash_finds_every_pair_at_the_limit(monkeypatch, most):
+    monkeypatch.setattr(simhash, "FEW", 0)
+    monkeypatch.setattr(simhash, "MANY", 1 << 30 if most == 1 else 0)
     rng = np.random.default_rng(21)
-    masks = simhash._masks(*simhash.layout(10**6))
-    met = 0
-    for _ in range(300):  # pairs at the very limit
-        flip = sum(1 << int(b) for b in rng.choice(simhash.BITS, simhash.MAX_DISTANCE, replace=False))
-        words_ = [(flip >> (64 * w)) & (1 << 64) - 1 for w in range(simhash.WORDS)]
-        met += any(all(not (m & f) for m, f in zip(mask, words_)) for mask in masks)
-    assert met >= 0.85 * 300
+    a = rng.integers(0, 1 << 63, (600, simhash.WORDS), dtype=np.uint64)
+    b = a.copy()
+    for i in range(600):
+        for bit in rng.choice(simhash.BITS, simhash.MAX_DISTANCE, replace=False):
+            b[i, bit // 64] ^= np.uint64(1 << int(bit % 64))
+    prints = np.concatenate([a, b])
+    for first in (600, 1200):  # two sides, and all in one
+        found = simhash.links(prints, first, simhash.MAX_DISTANCE)
+        x, y = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+        assert sorted(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist())) == [(i, 600 + i) for i in range(600)]
+
+
+def test_simhash_groups_are_those_of_all_pairs_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LEAST_ROWS", 30)
+    monkeypatch.setattr(simhash, "FEW", 0)
+    rng = random.Random(23)
+    texts = [sentence(rng, 120) for _ in range(100)]
+    for i in range(200):
+        w = texts[i % 100].split()
+        for _ in range(rng.randrange(8, 20)):  # many differ by about the limit
+            w[rng.randrange(len(w))] = rng.choice(WORDS) + "x"
+        texts.append(" ".join(w))
+    prints, _ = simhash.fingerprints(pa.array(texts))
+    near = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2) <= simhash.MAX_DISTANCE
+    a, b = np.nonzero(np.triu(near, 1))
+    want = simhash.local_roots(len(texts), a, b)
+    group = {r.id: r.group_id for r in simhash.groups(docs_of(spark, texts)).collect()}
+    assert 50 < len(a) and [group[i] for i in range(len(texts))] == want.tolist()
 
 
 def test_bucket_groups_are_those_of_all_pairs():
