@@ -6,8 +6,10 @@ most ``max_distance`` bits (44: about one distinct word in eight changed; unrela
 
 1. Equal fingerprints are put together; the rest works on distinct fingerprints.
 2. Candidates: the bits are cut into 15 parts (23 for few fingerprints).  Of two fingerprints within ``max_distance`` some part
-   differs in at most two bits (one bit), so each fingerprint looks, part by part, at those whose part is its own with at most so many
-   bits flipped; a pair whose first 128 bits differ in more than ``max_distance`` goes.  No near copy is lost by either.
+   differs in at most two bits (one bit), and it with any number of the parts after it in less than three (two) bits a part, so each
+   fingerprint looks, part by part, at those whose part is its own with at most so many bits flipped, and a pair that differs in more
+   than 11 of the 64 bits from that part on goes.  Buckets are compared a layer at a time: the first rows of all of them, the second
+   ones, ...  No near copy is lost by any of it.
 3. Pivot tables: each word's Hamming distances to 64 reference fingerprints are precomputed.  By the triangle
    inequality no distance is less than the largest difference of two such coordinates, and of two near copies some word
    differs in at most ``max_distance // 4`` bits; a pair for which every word's largest coordinate difference is above that is
@@ -54,7 +56,9 @@ MANY = 1 << 13  #: fingerprints from which parts are longer
 FEATURE_BITS = 16
 _F = [f"f{i}" for i in range(WORDS)]
 _BLOCK = 1 << 18
-_STEP = 1 << 15  #: pairs at a time, so that they stay in a core's cache
+_STEP = 1 << 14  #: pairs at a time, so that they stay in a core's cache
+LAYERS = 8  #: rows of a bucket that are compared a layer at a time
+LEAST_LAYER = 1 << 12
 SMALL = 256  #: two buckets of more than SMALL**2 pairs grow groups
 
 
@@ -132,6 +136,92 @@ def flips(bits: int, most: int) -> list[int]:
     return [sum(1 << b for b in own) for n in range(most + 1) for own in combinations(range(bits), n)]
 
 
+def window(prints: np.ndarray, first: int) -> np.ndarray:
+    """The 64 bits from bit ``first`` on; after the last bit comes the first one."""
+    word, shift = divmod(first, 64)
+    out = prints[:, word] >> np.uint64(shift)
+    if shift:
+        out |= prints[:, (word + 1) % WORDS] << np.uint64(64 - shift)
+    return out
+
+
+def window_limit(cut: list[tuple[int, int]], i: int, most: int) -> int:
+    """How many of the 64 bits from part i on may differ: for some part of two near copies, it and any number of parts after it differ in
+    less than ``most + 1`` bits a part (else runs of parts that differ in more would go round the ring and add up to more than the limit)."""
+    n, bits = 0, 0
+    while bits < 64:
+        bits += cut[(i + n) % len(cut)][1]
+        n += 1
+    return (most + 1) * n - 1
+
+
+class _Side:
+    """Fingerprints in the order of their keys.  The first ones of every bucket, the second ones, ... are layers: arrays by key, so that
+    a flip compares whole layers; the rows beyond the layers are ``deep``."""
+
+    def __init__(self, rows: np.ndarray, key: np.ndarray, view: np.ndarray, bits: int):
+        order = np.argsort(key, kind="stable")
+        self.rows, self.key, self.view = rows[order], key[order], view[order]
+        self.size = np.bincount(key, minlength=1 << bits)
+        self.start = np.concatenate(([0], np.cumsum(self.size)))
+        depth = np.arange(len(key)) - self.start[self.key]
+        self.keys, self.views, self.all = [], [], []
+        for d in range(LAYERS):
+            at = np.flatnonzero(depth == d)
+            if len(at) < LEAST_LAYER:
+                break
+            self.keys.append(self.key[at])
+            self.views.append(self.view[at])
+            self.all.append(np.zeros(1 << bits, np.uint64))
+            self.all[d][self.keys[d]] = self.views[d]
+        self.deep = np.flatnonzero(depth >= len(self.keys))
+
+
+class _Layers:
+    """Arrays that every comparison of layers reuses."""
+
+    def __init__(self):
+        self.at, self.apart, self.count, self.near = np.empty(_STEP, np.int64), np.empty(_STEP, np.uint64), np.empty(_STEP, np.uint8), np.empty(_STEP, bool)
+
+    def pairs(self, x: _Side, y: _Side, flip: int, limit: int, own: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places in the layers of both sides that differ in at most ``limit`` bits of the window; each pair once where both are one side."""
+        for i in range(len(x.keys)):
+            for j in range(len(y.keys)):
+                if own and not flip and i >= j:
+                    continue
+                swap = len(y.keys[j]) < len(x.keys[i])
+                keys, views, other = (y.keys[j], y.views[j], x.all[i]) if swap else (x.keys[i], x.views[i], y.all[j])
+                for s in range(0, len(keys), _STEP):
+                    key = keys[s : s + _STEP]
+                    n = len(key)
+                    at, apart, count, near = self.at[:n], self.apart[:n], self.count[:n], self.near[:n]
+                    np.bitwise_xor(key, flip, out=at)
+                    np.take(other, at, out=apart, mode="clip")
+                    np.bitwise_xor(apart, views[s : s + _STEP], out=apart)
+                    np.bitwise_count(apart, out=count)
+                    np.less_equal(count, limit, out=near)
+                    if near.any():
+                        hit = np.flatnonzero(near)
+                        v, w = (at[hit], key[hit]) if swap else (key[hit], at[hit])
+                        real = (x.size[v] > i) & (y.size[w] > j)  # else one of them is a gap in its layer
+                        if own and flip:
+                            real &= v < w
+                        yield x.start[v[real]] + i, y.start[w[real]] + j
+
+
+def _ranges(x: _Side, y: _Side, rows: np.ndarray, low: np.ndarray, many: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of ``rows`` and of each one's ``many`` partners from ``low`` on, if they differ in at most ``limit`` bits of the window."""
+    upto = np.cumsum(many)
+    t = 0
+    while t < len(rows):
+        z = max(t + 1, int(np.searchsorted(upto, (upto[t - 1] if t else 0) + _STEP, "right")))
+        before = upto[t:z] - many[t:z]
+        a, b = np.repeat(rows[t:z], many[t:z]), np.arange(before[0], upto[z - 1]) + np.repeat(low[t:z] - before, many[t:z])
+        near = np.flatnonzero(np.bitwise_count(x.view[a] ^ y.view[b]) <= limit)
+        yield a[near], b[near]
+        t = z
+
+
 def links(prints: np.ndarray, first: int, max_distance: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links that join all near copies among the fingerprints or, where there are others after the ``first`` ones, between
     those and the others."""
@@ -139,63 +229,68 @@ def links(prints: np.ndarray, first: int, max_distance: int) -> list[tuple[np.nd
     found: list[tuple[np.ndarray, np.ndarray]] = []
     root = np.arange(n)
     others = n - (0 if own else first)
+    if first * others <= FEW:
+        low = 0 if own else first
+        for s in range(0, first, max(1, _BLOCK // others)):
+            a, b = np.nonzero(np.bitwise_count(prints[s : min(first, s + max(1, _BLOCK // others)), None, :2] ^ prints[None, low:, :2]).sum(axis=2) <= max_distance)
+            a, b = a + s, b + low
+            once = a < b
+            root = _add(a[once], b[once], prints, root, found, max_distance)
+        return found
     most = 1 if others < MANY else 2  # fewer ways, or fewer fingerprints each
-    for at, bits in [(0, 0)] if first * others <= FEW else parts(max_distance, most):
+    cut, layers = parts(max_distance, most), _Layers()
+    for i, (at, bits) in enumerate(cut):
         new: list[tuple[np.ndarray, np.ndarray]] = []
-        key = part_keys(prints, at, bits)
-        left = np.argsort(key[:first], kind="stable")
-        right = left if own else first + np.argsort(key[first:], kind="stable")
-        kept = key[left]
-        held = np.bincount(key[right], minlength=1 << bits).astype(np.int32)
-        start, size = np.concatenate(([0], np.cumsum(held))), np.bincount(kept, minlength=1 << bits)
-        full = int(held.max()) * int(size.max()) > SMALL * SMALL
-        x, y = (np.ascontiguousarray(prints[rows, :2]).view(np.complex128).ravel() for rows in (left, right))  # half the bits of each as one value to fetch
+        key, view, limit = part_keys(prints, at, bits), window(prints, at), window_limit(cut, i, most)
+        x = _Side(np.arange(first), key[:first], view[:first], bits)
+        y = x if own else _Side(np.arange(first, n), key[first:], view[first:], bits)
+        full = int(x.size.max()) * int(y.size.max()) > SMALL * SMALL
         if full:
-            one = [_joined(root[r], key[r], bits, none) for r, none in ((left, -1), (right, -2))]
+            one = [_joined(root[s.rows], s.key, bits, none) for s, none in ((x, -1), (y, -2))]
         for flip in flips(bits, most):
-            partner = kept ^ flip
-            many = held[partner]
-            if own:  # each pair once
-                many = start[kept + 1] - np.arange(1, n + 1) if not flip else many * (partner > kept)
-            rows = np.flatnonzero(many)
-            low = rows + 1 if own and not flip else start[partner[rows]]
-            many = many[rows]
-            if full:
-                open_ = one[0][kept[rows]] != one[1][partner[rows]]  # else all of both is joined already
-                rows, low, many = rows[open_], low[open_], many[open_]
-                dense = size[kept[rows]] * held[partner[rows]] > SMALL * SMALL
-                for v in np.unique(kept[rows[dense]]):
-                    both = np.union1d(left[np.searchsorted(kept, v) : np.searchsorted(kept, v, "right")], right[start[v ^ flip] : start[(v ^ flip) + 1]])
-                    if (root[both] != root[both[0]]).any():
-                        near = grown(np.arange(len(both)), prints[both], pivot_table(prints[both]), max_distance)
-                        found += [(both[a], both[b]) for a, b in near]  # chains of near copies, verified
-                if dense.any() and found:
-                    root = _roots(n, found)
-                    one = [_joined(root[r], key[r], bits, none) for r, none in ((left, -1), (right, -2))]
-                rows, low, many = rows[~dense], low[~dense], many[~dense]
-            for s in range(0, len(rows), _STEP):
-                take, at_, left_ = rows[s : s + _STEP], low[s : s + _STEP], many[s : s + _STEP]
-                while len(take) > _STEP // 32:  # the first of each row's partners, the second, ..., while they are many
-                    new.append(_near(x, y, take, at_, left, right, max_distance))
-                    more = np.flatnonzero(left_ > 1)
-                    take, at_, left_ = take[more], at_[more] + 1, left_[more] - 1
-                upto = np.cumsum(left_)
-                t = 0
-                while t < len(take):  # the rest of them row by row
-                    z = max(t + 1, int(np.searchsorted(upto, (upto[t - 1] if t else 0) + _STEP, "right")))
-                    before = upto[t:z] - left_[t:z]
-                    new.append(_near(x, y, np.repeat(take[t:z], left_[t:z]), np.arange(before[0], upto[z - 1]) + np.repeat(at_[t:z] - before, left_[t:z]), left, right, max_distance))
-                    t = z
-        a, b = (np.concatenate([f[i] for f in new]) if new else np.zeros(0, np.int64) for i in (0, 1))
-        open_ = root[a] != root[b]  # the rest is joined already
-        a, b = a[open_], b[open_]
-        near = [np.zeros(0, bool)] + [_verified(a[s : s + _BLOCK // 4], b[s : s + _BLOCK // 4], prints, max_distance) for s in range(0, len(a), _BLOCK // 4)]
-        near = np.concatenate(near)
-        found.append((a[near], b[near]))
-        root = _roots(n, found)
+            new += [(x.rows[a], y.rows[b]) for a, b in layers.pairs(x, y, flip, limit, own)]
+            for this, that in ((x, y),) if own else ((x, y), (y, x)):  # the deep ones with all of the other side, then its deep ones with the layers
+                rows, top = this.deep, len(this.keys)
+                partner = this.key[rows] ^ flip
+                many = that.size[partner] if this is x else np.minimum(that.size[partner], len(that.keys))
+                held = np.flatnonzero(many)
+                rows, partner, many = rows[held], partner[held], many[held]
+                if full and len(rows):
+                    mine, theirs = one if this is x else one[::-1]
+                    open_ = mine[this.key[rows]] != theirs[partner]  # else all of both is joined already
+                    rows, partner, many = rows[open_], partner[open_], many[open_]
+                    dense = this.size[this.key[rows]] * that.size[partner] > SMALL * SMALL
+                    for v in np.unique(this.key[rows[dense]]):
+                        both = np.union1d(*(s.rows[s.start[k] : s.start[k + 1]] for s, k in ((this, v), (that, v ^ flip))))
+                        if (root[both] != root[both[0]]).any():
+                            near = grown(np.arange(len(both)), prints[both], pivot_table(prints[both]), max_distance)
+                            found += [(both[a], both[b]) for a, b in near]  # chains of near copies, verified
+                    if dense.any() and found:
+                        root = _roots(n, found)
+                        one = [_joined(root[s.rows], s.key, bits, none) for s, none in ((x, -1), (y, -2))]
+                    rows, partner, many = rows[~dense], partner[~dense], many[~dense]
+                for a, b in _ranges(this, that, rows, that.start[partner], many, limit):
+                    if own:  # two deep ones meet twice, and each meets itself
+                        once = (a < b) | (b - that.start[that.key[b]] < top)
+                        a, b = a[once], b[once]
+                    new.append((this.rows[a], that.rows[b]))
+        a, b = (np.concatenate([f[k] for f in new]) if new else np.zeros(0, np.int64) for k in (0, 1))
+        root = _add(a, b, prints, root, found, max_distance)
     return found
 
 
+def _add(a: np.ndarray, b: np.ndarray, prints: np.ndarray, root: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]], max_distance: int) -> np.ndarray:
+    """The roots after those of the pairs that are near copies went to ``found``."""
+    open_ = root[a] != root[b]  # the rest is joined already
+    a, b = a[open_], b[open_]
+    near = [np.zeros(0, bool)] + [_verified(a[s : s + _BLOCK // 4], b[s : s + _BLOCK // 4], prints, max_distance) for s in range(0, len(a), _BLOCK // 4)]
+    near = np.concatenate(near)
+    if near.any():
+        found.append((a[near], b[near]))
+        root = _roots(len(prints), found)
+    return root
+
+
 def _joined(root: np.ndarray, kept: np.ndarray, bits: int, none: int) -> np.ndarray:
     """For each key the one root of its rows, or ``none``; rows come sorted by key."""
     out, at = np.full(1 << bits, none), runs(kept)
@@ -204,15 +299,6 @@ def _joined(root: np.ndarray, kept: np.ndarray, bits: int, none: int) -> np.ndar
     return out
 
 
-def _near(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray, max_distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs that half the bits don't put above ``max_distance``."""
-    apart = x[a].view(np.uint64)
-    apart ^= y[b].view(np.uint64)
-    apart = np.bitwise_count(apart)
-    near = np.flatnonzero(apart[::2] + apart[1::2] <= max_distance)
-    return left[a[near]], right[b[near]]
-
-
 def _roots(n: int, found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return local_roots(n, *(np.concatenate([f[i] for f in found]) for i in (0, 1)))
 

@@ -102,6 +102,44 @@ def test_simhash_groups_are_those_of_all_pairs_of_blocks(spark, monkeypatch):
     assert 50 < len(a) and [group[i] for i in range(len(texts))] == want.tolist()
 
 
+@pytest.mark.parametrize("most", [1, 2])
+def test_some_window_of_every_near_copy_is_within_its_limit(most):
+    rng = np.random.default_rng(24)
+    a = rng.integers(0, 1 << 63, (400, simhash.WORDS), dtype=np.uint64)
+    b = a.copy()
+    for i in range(400):  # all over, or as many as can be in one place
+        for bit in rng.choice(simhash.BITS, simhash.MAX_DISTANCE, replace=False) if i % 2 else (i + np.arange(simhash.MAX_DISTANCE)) % simhash.BITS:
+            b[i, bit // 64] ^= np.uint64(1 << int(bit % 64))
+    cut = simhash.parts(simhash.MAX_DISTANCE, most)
+    found = np.zeros(400, bool)
+    for i, (at, bits) in enumerate(cut):
+        part = np.bitwise_count(simhash.part_keys(a, at, bits) ^ simhash.part_keys(b, at, bits)) <= most
+        found |= part & (np.bitwise_count(simhash.window(a, at) ^ simhash.window(b, at)) <= simhash.window_limit(cut, i, most))
+    assert found.all()
+
+
+def test_simhash_layers_and_deep_buckets_find_all_pairs_and_verify_few(monkeypatch):
+    for name, value in (("FEW", 0), ("MANY", 0), ("LAYERS", 2), ("LEAST_LAYER", 8)):
+        monkeypatch.setattr(simhash, name, value, raising=False)
+    rng = np.random.default_rng(25)
+    prints = rng.integers(0, 1 << 63, (1500, simhash.WORDS), dtype=np.uint64)
+    prints[:, 0] &= np.uint64(~0x1FFF8 & ((1 << 64) - 1))  # few keys in the first part: most rows lie beyond the layers
+    for i in range(0, 600, 2):
+        prints[i + 1] = prints[i]
+        for bit in rng.choice(256, rng.integers(30, 50), replace=False):
+            prints[i + 1, bit // 64] ^= np.uint64(1 << int(bit % 64))
+    prints = prints[rng.permutation(len(prints))]
+    verified, inner = [0], simhash._verified
+    monkeypatch.setattr(simhash, "_verified", lambda a, *rest: (verified.__setitem__(0, verified[0] + len(a)), inner(a, *rest))[1])
+    pairs = np.concatenate([np.argwhere(np.bitwise_count(prints[s : s + 500, None] ^ prints[None]).sum(axis=2) <= simhash.MAX_DISTANCE) + (s, 0) for s in range(0, 1500, 500)])
+    for first in (1500, 700):
+        near = pairs[pairs[:, 0] < pairs[:, 1]] if first == 1500 else pairs[(pairs[:, 0] < first) & (pairs[:, 1] >= first)]
+        found = simhash.links(prints, first, simhash.MAX_DISTANCE)
+        got = simhash.local_roots(1500, *(np.concatenate([f[i] for f in found]) for i in (0, 1)))
+        assert len(near) > 50 and (got == simhash.local_roots(1500, near[:, 0], near[:, 1])).all()
+    assert verified[0] < 2000, verified
+
+
 def test_bucket_groups_are_those_of_all_pairs():
     rng = np.random.default_rng(22)
     seeds = rng.integers(0, 1 << 63, (5, simhash.WORDS), dtype=np.uint64)
