@@ -11,7 +11,7 @@ written to the shared folder, a row a piece.
 
 Table.  Scoring holds the blocks in one table with a check byte for each (a context that isn't there predicts nothing).  The table
 takes at least two places a block, so it grows with the number of contexts met, up to ``max_bits`` (2**22 blocks of 16 bytes,
-64 MB, 256 MB laid out for reading: what a worker can hold).  From there on it takes the contexts that were seen most often.  A block may stand at its place or at the
+64 MB: what a worker can hold; a block is read at one place).  From there on it takes the contexts that were seen most often.  A block may stand at its place or at the
 one beside it; of three that meet, those seen more often stay.
 
 Mixing.  The log-odds x_k of the predictors are combined as s = sum_k w[g, bit, k] x_k + d[bit, round(2 s')] + u[hash of three bytes and node],
@@ -68,7 +68,7 @@ _LOW = np.uint64(15)
 _BIT = (np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1
 _SIGN = (2 * _BIT - 1).astype(np.float32)
 _NODE = np.stack([(np.arange(256) | 256) >> (8 - b) for b in range(8)], axis=1) * 73
-_PATH = np.stack([(np.arange(16) | 16) >> (4 - b) for b in range(4)], axis=1)
+_PATHS = np.stack([(half | 16) >> (4 - b) for half in (np.arange(256) >> 4, np.arange(256) & 15) for b in range(4)], axis=1)  # a byte's nodes in its two blocks
 _GATE = np.full(256, 2, np.int64)
 _GATE[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 0
 _GATE[[9, 10, 13, 32]] = 1
@@ -271,25 +271,19 @@ def steps(longest: int) -> Iterator[tuple[int, int]]:
 
 
 class Table:
-    """The table laid out for reading: for each block and half byte the log-odds of its four bits as one 32-bit word."""
+    """The table, read a block at a time: check byte and nodes of a block are 16 bytes that are fetched together."""
 
     def __init__(self, flat: np.ndarray, bits: int):
-        wide = flat.reshape(-1, 16)
-        self.shift, self.tags, self.words = np.uint64(64 - bits), np.ascontiguousarray(wide[:, 0]), np.empty(len(flat), np.int32)
-        for a in range(0, len(wide), 1 << 16):
-            self.words[a * 16 : (a << 4) + (16 << 16)] = np.ascontiguousarray(wide[a : a + (1 << 16), _PATH]).view(np.int32).ravel()
-
-    def look(self, keys: np.ndarray, nibble: np.ndarray, out: np.ndarray) -> None:
-        """The words of a half byte's four log-odds into ``out`` (n); 0 where the context isn't in the table."""
-        block, tag = (keys >> self.shift).view(np.int64), tag_of(keys)
-        away = np.flatnonzero(self.tags[block] != tag)  # at the place beside, or nowhere
-        beside = block[away] ^ 1
-        block[away] = beside
-        block <<= 4
-        block |= nibble
-        words = self.words[block]
-        words[away[self.tags[beside] != tag[away]]] = 0
-        out[:] = words
+        self.shift, self.blocks = np.uint64(64 - bits), np.require(flat.view(np.complex128), requirements="A")
+
+    def look(self, keys: np.ndarray, out: np.ndarray) -> None:
+        """The blocks of ``keys`` into ``out`` (n, complex); zeros where the context isn't in the table."""
+        block, tag, check = (keys >> self.shift).view(np.int64), tag_of(keys), out.view(np.int8)[::16]
+        np.take(self.blocks, block, out=out, mode="clip")
+        away = np.flatnonzero(check != tag)  # at the place beside, or nowhere
+        beside = self.blocks[block[away] ^ 1]
+        beside[beside.view(np.int8)[::16] != tag[away]] = 0
+        out[away] = beside
 
 
 class _Room:
@@ -297,15 +291,16 @@ class _Room:
 
     def __init__(self, n: int):
         f = np.float32
-        self.x, self.words = np.empty((K, n, 8), f), np.empty((n, 2), np.int32)
+        self.x, self.nodes, self.keys, self.blocks = np.empty((K, n, 8), f), np.empty((n, 8), np.int8), np.empty((n, 2), np.uint64), np.empty(2 * n, np.complex128)
+        self.first = np.arange(0, 32 * n, 16).reshape(n, 2, 1)
         self.s, self.sign, self.u, self.more, self.error = (np.empty((n, 8), f) for _ in range(5))
-        self.bins, self.cell = np.empty((n, 8), np.int64), np.empty((n, 8), np.int64)
+        self.bins, self.cell, self.path = (np.empty((n, 8), np.int64) for _ in range(3))
 
 
 def _lanes(raw: np.ndarray, h: np.ndarray, half: np.ndarray, starts: np.ndarray, sizes: np.ndarray, table: Table, room: _Room) -> np.ndarray:
     """Bits of some texts, longest first, one stretch of each at a time."""
     n = len(starts)
-    weight = np.full((K, n * GATES, 8), START, np.float32)
+    weight = np.full((K, n * GATES, 8), START / SCALE, np.float32)  # of log-odds in sixteenths
     refine, own_odds = np.zeros(n * 8 * BINS, np.float32), np.zeros(n << OWN_BITS, np.float32)
     total = np.zeros(n)
     lane_bins = ((np.arange(8) * BINS)[None] + (np.arange(n) * 8 * BINS)[:, None])[:, None]
@@ -314,20 +309,25 @@ def _lanes(raw: np.ndarray, h: np.ndarray, half: np.ndarray, starts: np.ndarray,
     for at, width in steps(int(sizes[0])):
         live = int(np.searchsorted(-sizes, -at, "left"))
         m = live * width
-        s, sign, u, more, error, bins, cell, words = (a[:m] for a in (room.s, room.sign, room.u, room.more, room.error, room.bins, room.cell, room.words))
+        s, sign, u, more, error, bins, cell, path, nodes, keys = (a[:m] for a in (room.s, room.sign, room.u, room.more, room.error, room.bins, room.cell, room.path, room.nodes, room.keys))
+        blocks = room.blocks[: 2 * m]
         step = np.arange(at, at + width)
         inside = step < sizes[:live, None]
         place = (np.minimum(step, sizes[:live, None] - 1) + starts[:live, None]).ravel()
         byte, past, side = raw[place].astype(np.int64), h[place], np.repeat(half[:live], width)
-        upper, lower = byte >> 4, byte & 15
+        np.take(_PATHS, byte, axis=0, out=path, mode="clip")
+        wide = path.reshape(m, 2, 4)
+        wide += room.first[:m]
+        upper = byte >> 4
         gate = _GATE[(past & np.uint64(255)).astype(np.int64)].reshape(live, width)
         own = (np.arange(live)[:, None] * GATES + gate).ravel()
         for k in range(K):  # predictors one by one, each in an array without gaps
             x = room.x[k, :m]
-            keys = upper_keys(past, side, k)
-            table.look(keys, upper, words[:, 0])
-            table.look(lower_keys(keys, upper), lower, words[:, 1])
-            np.multiply(words.view(np.int8), np.float32(1 / SCALE), out=x)
+            keys[:, 0] = upper_keys(past, side, k)
+            keys[:, 1] = lower_keys(keys[:, 0], upper)
+            table.look(keys.ravel(), blocks)
+            np.take(blocks.view(np.int8), path, out=nodes, mode="clip")
+            np.copyto(x, nodes)
             np.take(weight[k], own, axis=0, out=more if k else s, mode="clip")
             if k:
                 more *= x
@@ -359,12 +359,13 @@ def _lanes(raw: np.ndarray, h: np.ndarray, half: np.ndarray, starts: np.ndarray,
         np.divide(u, s, out=error)
         error *= sign
         parts = s.reshape(live, 2, width * 4)
-        total[:live] += np.log2(parts[:, 0] * parts[:, 1]).sum(axis=1, dtype=np.float64)
+        np.multiply(parts[:, 0], parts[:, 1], out=more.reshape(2, live, width * 4)[0])
+        total[:live] += np.log2(more.reshape(2, live, width * 4)[0]).sum(axis=1, dtype=np.float64)
         refine += np.float32(REFINE) * np.bincount(bins.ravel(), weights=error.ravel(), minlength=len(refine)).astype(np.float32)
         for k in range(K):
             np.multiply(room.x[k, :m], error, out=more)
             one = (gate[:, None] == gates).astype(np.float32) if k == 0 else one
-            weight[k, : live * GATES] += np.float32(RATE) * np.matmul(one, more.reshape(live, width, 8)).reshape(live * GATES, 8)
+            weight[k, : live * GATES] += np.float32(RATE / SCALE**2) * np.matmul(one, more.reshape(live, width, 8)).reshape(live * GATES, 8)
         error *= np.float32(LEARN)
         np.add.at(own_odds, cell.ravel(), error.ravel())
     return total

@@ -339,6 +339,25 @@ def test_mixing_table_grows_with_the_corpus_and_keeps_what_is_seen_most(spark):
     assert bits[1] > bits[0]
 
 
+def test_mixing_table_is_read_in_place_a_block_at_a_time():
+    rng = np.random.default_rng(26)
+    bits, flat = 10, np.zeros((1 << 10, 16), np.int8)
+    keys = (rng.choice(1 << 10, 600, replace=False).astype(np.uint64) << np.uint64(54)) | rng.integers(0, 1 << 54, 600, dtype=np.uint64)
+    nodes = rng.integers(-127, 128, (600, 16)).astype(np.int8)
+    nodes[:, 0] = mixing.tag_of(keys)
+    place = (keys >> np.uint64(54)).astype(np.int64)
+    flat[place[:500]] = nodes[:500]  # the last hundred aren't in the table
+    table = mixing.Table(flat.ravel(), bits)
+    assert np.shares_memory(table.blocks, flat)
+    asked = np.concatenate([keys, keys[:500] ^ np.uint64(1 << 54)])  # at the place, nowhere, and at the one beside
+    out = np.empty(len(asked), np.complex128)
+    table.look(asked, out)
+    for key, got in zip(asked.tolist(), out.view(np.int8).reshape(-1, 16)):
+        tag, at = mixing.tag_of(np.array([key], np.uint64))[0], key >> 54
+        want = next((flat[p] for p in (at, at ^ 1) if flat[p, 0] == tag), np.zeros(16, np.int8))
+        assert (got == want).all()
+
+
 def test_mixing_is_the_same_beside_other_texts_and_prefers_known_text(spark):
     rng = random.Random(6)
     texts = [sentence(rng, 60) for _ in range(80)] + ["".join(rng.choice("qzxjkvw%&#") for _ in range(400))]
