@@ -842,6 +842,24 @@ def test_template_and_slots_against_whole_vectors(spark, seed):
         assert plain(out[i]) == plain(own), i
 
 
+def test_words_that_no_tag_goes_with_form_a_class(spark):
+    rng = random.Random(27)
+    pages = []
+    for i in range(12):
+        offer = [" ".join(f"Offer {rng.choice(WORDS)}{i}x{k} expires {k}y{i}" for k in range(i % 3))]  # on eight pages, as often as no tag
+        pages.append((i, f"https://h.org/{i}", f"<html><body><div>{' '.join(offer)}</div><p>{sentence(rng, 9)}</p></body></html>"))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    keyed = df.select(F.col("page_id").alias("page"), html_template.host_of().alias("host"), "html")
+    row = html_template.deduced(keyed, keyed.groupBy("host").agg(F.count("*").alias("n"))).first()
+    div = next(t[4] for t in html_template.tokens(pages[1][2]) if t[2] == "Offer")
+    want = sorted(html_template._signed(html_template.xxhash.xxh3_64_intdigest(w, div)) for w in ("Offer", "expires"))
+    assert [sorted(w.role for w in c.words) for c in row.classes if not c.tags] == [want]
+    for r in html_template.extract(df).collect():
+        shown = " ".join(s.text for s in r.slots).split()
+        assert "Offer" not in shown and "expires" not in shown
+        assert sum("x" in w and w[-2:-1] == "x" for w in shown) >= r.page_id % 3  # what stands between them stays
+
+
 def test_crossing_classes_are_dropped():
     page = "<div><i>a</i><u>b<b>c</u>d</b></div>"
     roles = [t[0] for t in html_template.tokens(page)]
