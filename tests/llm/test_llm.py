@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from termgraph import storage
 from termgraph.llm import bpe, chat, exact_dedup, html_template, mixing, packing, quality_rules, registry, sharding, simhash, toxicity, vectortext
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -860,6 +861,57 @@ def test_words_that_no_tag_goes_with_form_a_class(spark):
         assert sum("x" in w and w[-2:-1] == "x" for w in shown) >= r.page_id % 3  # what stands between them stays
 
 
+def test_words_that_some_tasks_do_not_send_are_counted_in_a_second_reading(spark):
+    rng = random.Random(28)
+    pages = [(i, "https://h.org/", f"<div><p>{'New terms' if i >= 20 else ''} {sentence(rng, 6)} {'as agreed' if i % 5 else ''}</p><b>{sentence(rng, 3)}</b></div>") for i in range(48)]
+    keyed = spark.createDataFrame(pages, "page long, host string, html string").repartitionByRange(4, "page")  # the first task sends neither word
+    hosts = keyed.groupBy("host").agg(F.count("*").alias("n"))
+    roles = html_template.frequent(html_template.role_vectors(keyed, 0.5), hosts, 3, 0.5).collect()
+    vectors = {}
+    for i, _, h in pages:
+        for t in html_template.tokens(h):
+            vectors.setdefault(html_template._signed(t[0]), [0] * len(pages))[i] += 1
+    n = {r: sum(x > 0 for x in v) for r, v in vectors.items()}
+    assert {r.role for r in roles if r.whole} <= {r for r in n if n[r] >= 24} <= {r.role for r in roles}
+    late = [html_template._signed(t[0]) for t in html_template.tokens(pages[20][2]) if t[2] in ("New", "terms")]
+    assert set(late) <= {r.role for r in roles if not r.whole} and len(late) == 2
+    row = html_template.deduced(keyed, hosts).first()
+    want = {}
+    for r, v in vectors.items():
+        if n[r] >= 24:
+            want.setdefault(tuple(v), set()).add(r)
+    assert sorted(sorted([*c.tags, *(w.role for w in c.words)]) for c in row.classes) == sorted(sorted(rs) for rs in want.values() if len(rs) > 1)
+    assert sorted(late) in [sorted(w.role for w in c.words) for c in row.classes]
+
+
+def test_template_reads_pages_twice_where_all_words_are_sent(spark, monkeypatch):
+    pages, _ = site(40, random.Random(29))
+    work = spark.createDataFrame(pages, "page long, host string, html string").withColumn("host", F.lit("h")).repartition(1)
+    keyed, hosts = storage.materialise(work, "pages"), spark.createDataFrame([("h", 40)], "host string, n long")
+    read, plain = spark.sparkContext.accumulator(0), type(keyed).mapInArrow
+
+    def counted(df, func, *args, **more):
+        def run(batches):
+            def each():
+                for b in batches:
+                    read.add(b.num_rows)
+                    yield b
+
+            return func(each())
+
+        return plain(df, run, *args, **more)
+
+    monkeypatch.setattr(type(keyed), "mapInArrow", counted)
+    assert html_template.deduced(keyed, hosts).count() == 1
+    assert read.value == 2 * 40  # vectors and verdicts
+
+
+def test_pages_that_repeat_an_id_are_pages_of_their_own(spark):
+    pages = [(1, "<p>x</p><i>a</i><u>b</u><u>b</u>"), (1, "<p>x</p><i>a</i><i>a</i><u>b</u>"), (2, "<p>x</p><i>a</i><u>b</u>"), (3, "<p>y</p><i>a</i><u>b</u>")]
+    out = html_template.extract(spark.createDataFrame([(i, "https://h.org/", h) for i, h in pages], "page_id long, url string, html string")).collect()
+    assert {r.template_tokens for r in out} == {2 + 3 + 3}  # <p> </p>, <i> a </i> and <u> b </u>: their vectors differ, as sums over ids they don't
+
+
 def test_crossing_classes_are_dropped():
     page = "<div><i>a</i><u>b<b>c</u>d</b></div>"
     roles = [t[0] for t in html_template.tokens(page)]
