@@ -138,7 +138,7 @@ def parts(page: str) -> Iterator[tuple[int, str | None, bool, int]]:
                     if gone == name:
                         break
             here = place[-1]
-            yield _closing(name, here), None, name in _BLOCK, here
+            yield (_closing if len(name) < 100 else _closing.__wrapped__)(name, here), None, name in _BLOCK, here
         else:
             role, name, breaks, inside = _opening(piece, here)
             yield role, None, breaks, here
@@ -183,7 +183,7 @@ _by_place: dict[int, _Roles] = {}  #: the worker's words
 
 def word_roles(words: list[str], place: int) -> list[int]:
     """Role of each word; those seen before are looked up, not hashed."""
-    if _kept[0] + len(_by_place) > _HOLD:
+    if _kept[0] + 4 * len(_by_place) > _HOLD:
         _by_place.clear()
         _kept[0] = 0
     known = _by_place.get(place)
@@ -212,7 +212,7 @@ class _Counted:
         self.chars = self.numbers = 0
 
     def full(self) -> bool:
-        return len(self.seq) > _TOKENS or self.numbers > _HOLD or self.chars > _CHARS
+        return len(self.seq) > _TOKENS or self.numbers + 4 * len(self.words) > _HOLD or self.chars > _CHARS
 
     def read(self, page: int, host: str, text: str, within: set[int] | None = None) -> None:
         """Take in a page; only its words in the places ``within``, if these are given."""
@@ -221,7 +221,7 @@ class _Counted:
             if piece is None:
                 if within is None:
                     seq.append(tags[role])
-            elif within is None or here in within:
+            elif (within is None or here in within) and not piece.isspace():
                 own = words.get(here)
                 if own is None:
                     own = words[here] = defaultdict(self.new)
