@@ -14,9 +14,11 @@ from termgraph import vocab
 from termgraph.functions import text as T
 from termgraph.operators import svo
 from termgraph.operators.hierarchy import Token
+from termgraph.storage import materialise
 
 MAX_PAIRS = 60
 MIN_SCORE = 0.5
+PLAN_ROWS = 500_000  #: candidates of one range of a call plan
 TRIPLE = "subject string, predicate string, object string"
 
 
@@ -194,21 +196,30 @@ def topup_candidates(chunks: DataFrame, triples: DataFrame, when: str = "empty",
     return j.where(few | (F.col("relations") < F.length("chunk_text") / max(chars_per_relation, 1)) if when == "sparse" else few)
 
 
-def call_plan(candidates: DataFrame, total_chunks: int, max_pct: float | None = 0.10, max_usd: float | None = None, price_in: float = 0.005, price_out: float = 0.015, max_output: int = 1200, chars_per_token: float = 2.0, overhead: int = 400, margin_calls: float = 1.0, order: str = "chunk_id") -> DataFrame:
+def call_plan(candidates: DataFrame, total_chunks: int, max_pct: float | None = 0.10, max_usd: float | None = None, price_in: float = 0.005, price_out: float = 0.015, max_output: int = 1200, chars_per_token: float = 2.0, overhead: int = 400, margin_calls: float = 1.0, order: str = "chunk_id", chars: str | None = None) -> DataFrame:
     """``candidates`` with ``place`` (shortest text first) and ``called``: whether both caps leave room, with each call at its estimate.
 
-    Estimates never fall along the order, so what is called is a prefix and a running sum decides.  The order is global:
-    a count cap keeps the first rows (a top-k), only a cap in dollars needs the running sum."""
+    Estimates never fall along the order, so what is called is a prefix and a running sum decides.  The order is global, but no
+    task holds it: the rows are written in ranges of about ``PLAN_ROWS``, a window goes over one range and starts with what the ranges before it
+    hold.  ``chars``: a column that has the text's length already, so that the text needn't move."""
     est = lambda c: (c / chars_per_token + overhead) / 1000 * price_in + max_output / chars_per_token / 1000 * price_out
-    w = Window.orderBy(F.length("chunk_text"), order)
-    out = candidates.withColumn("place", F.row_number().over(w))
+    length = F.col(chars) if chars else F.length("chunk_text")
+    rows = materialise(candidates, "call-candidates")
+    parts = max(1, -(-rows.count() // PLAN_ROWS))
+    ranged = materialise(rows.repartitionByRange(parts, length, order).withColumns({"_range": F.spark_partition_id(), "_est": est(length)}), "call-ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), F.sum("_est").alias("_sum"))
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_rows"), F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_spent"))
+    w = Window.partitionBy("_range").orderBy(length, order)
+    upto = F.sum("_est").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    out = ranged.withColumns({"place": F.row_number().over(w), "_upto": upto}).join(F.broadcast(starts), "_range").withColumn("place", (F.col("place") + F.col("_rows")).cast("int"))
     called = F.lit(True)
     if max_pct is not None:
         called = called & (F.col("place") <= int(total_chunks * max_pct))
     if max_usd is not None:
         worst = margin_calls * est(6000)
-        called = called & (F.sum(est(F.length("chunk_text"))).over(w.rowsBetween(Window.unboundedPreceding, 0)) + worst <= max_usd)
-    return out.withColumn("called", called)
+        called = called & (F.col("_spent") + F.col("_upto") + worst <= max_usd)
+    return out.withColumn("called", called).drop("_range", "_est", "_upto", "_rows", "_spent")
 
 
 def parsed_reply(raw: Column | str) -> Column:

@@ -226,7 +226,8 @@ def hybrid_cap(spark: S, d: str) -> DataFrame:
     """HYB-1 to HYB-4: documents without a triple, shortest first, under both caps."""
     chunks = table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk_text"))
     triples = table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("chunk_id"))
-    return relations.call_plan(relations.topup_candidates(chunks, triples), chunks.count(), 0.1, 0.9).select("chunk_id", "place", "called")
+    lengths = relations.topup_candidates(chunks, triples).select("chunk_id", F.length("chunk_text").alias("chars"))
+    return relations.call_plan(lengths, chunks.count(), 0.1, 0.9, chars="chars").select("chunk_id", "place", "called")
 
 
 @query("""WITH c AS (SELECT doc_id, length(text) AS n, (SELECT count(*) FROM labels l WHERE l.doc_id = d.doc_id) AS r FROM documents d WHERE text IS NOT NULL)
