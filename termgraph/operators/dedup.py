@@ -49,14 +49,19 @@ def merge_renames(parts: list[DataFrame]) -> DataFrame:
 
 
 def _chain_ends(base: DataFrame) -> tuple[DataFrame, bool]:
-    """(``base`` with each target replaced by the end of its chain, whether some chain has no end)."""
+    """(``base`` with each target replaced by the end of its chain, whether some chain has no end).
+
+    Once a round's targets that still lead on are as many as the round's before, every one of them lies on a cycle (a jump maps them onto
+    themselves), and further rounds find no end.  The joins are merges: no table goes through the driver."""
     ptr, domain = base, base.select(F.col("old").alias("canonical"))
-    for _ in range(max(1, base.count()).bit_length() + 1):
-        if ptr.join(domain, "canonical", "left_semi").isEmpty():
-            return ptr, False
+    lasting = None
+    while True:
+        on = ptr.select("canonical").distinct().join(domain.hint("merge"), "canonical", "left_semi").count()
+        if on == 0 or on == lasting:
+            return ptr, on > 0
+        lasting = on
         hop = ptr.select(F.col("old").alias("canonical"), F.col("canonical").alias("to"))
-        ptr = materialise(ptr.join(hop, "canonical", "left").select("old", F.coalesce("to", "canonical").alias("canonical")), "rename-ends")
-    return ptr, not ptr.join(domain, "canonical", "left_semi").isEmpty()
+        ptr = materialise(ptr.join(hop.hint("merge"), "canonical", "left").select("old", F.coalesce("to", "canonical").alias("canonical")), "rename-ends")
 
 
 def flatten_renames(renames: DataFrame) -> DataFrame:
@@ -66,9 +71,9 @@ def flatten_renames(renames: DataFrame) -> DataFrame:
     maps to nothing; a name that leads into one maps to the name at which it enters."""
     base = materialise(renames.where("old <> '' AND canonical <> '' AND old <> canonical"), "renames")
     ends, endless = _chain_ends(base)
-    if endless:  # after that many steps, what isn't at an end is on a cycle, and every name of a cycle is reached
-        cycle = materialise(ends.select(F.col("canonical").alias("old")).join(base.select("old"), "old", "left_semi").distinct(), "rename-cycles")
-        ends, _ = _chain_ends(materialise(base.join(cycle, "old", "left_anti"), "rename-chains"))
+    if endless:  # what isn't at an end is on a cycle, and every name of a cycle is reached
+        cycle = materialise(ends.select(F.col("canonical").alias("old")).distinct().join(base.select("old").hint("merge"), "old", "left_semi"), "rename-cycles")
+        ends, _ = _chain_ends(materialise(base.join(cycle.hint("merge"), "old", "left_anti"), "rename-chains"))
     return ends.where("old <> canonical")
 
 
