@@ -11,6 +11,8 @@ from termgraph.functions import text as T
 from termgraph.operators.dedup import cosine
 from termgraph.storage import materialise
 
+BLOCK, TILE = 16_384, 2048  #: vectors of a block, of which a group holds two, and of a tile, which is computed at once
+
 
 def closure(hierarchy: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(child, ancestor): one or more steps of (child, parent), cycles allowed.
@@ -92,14 +94,22 @@ def _unit(vecs: pd.Series) -> np.ndarray:
         return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
-def nearest_of_every(vectors: DataFrame, k: int = 10, block: int = 2048) -> DataFrame:
+def nearest_of_every(vectors: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
     """(q, id, similarity, place): ``nearest`` with every vector (id, vec) as a query."""
     return nearest(vectors.select(F.col("id").alias("q"), "vec"), vectors, k, block)
 
 
+def _parts(n: int, block: int) -> int:
+    """Blocks of ``n`` rows: as few as may be, but four keep the workers busy where there are as many tiles."""
+    return max(1, -(-n // block), min(4, -(-n // min(block, TILE))))
+
+
 def _blocks(a: DataFrame, b: DataFrame, block: int) -> tuple:
-    """Both tables (their first column is the id, the second the vector) in blocks of about ``block`` rows, each block beside each of the other's."""
-    na, nb = (max(1, -(-d.count() // block)) for d in (a, b))
+    """Both tables (their first column is the id, the second the vector) in blocks of about ``block`` rows, each block beside each of the other's.
+
+    Every row goes to as many groups as the other table has blocks, so what is shuffled grows with the square of the rows over ``block``:
+    blocks are large, and what a group computes at once are tiles (``_tiles``)."""
+    na, nb = _parts(a.count(), block), _parts(b.count(), block)
     place = lambda d, n: F.expr(f"CAST(pmod(hash(`{d.columns[0]}`), {n}) AS INT)")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     # own names on each side: columns of one table aren't told apart in a cogroup
@@ -108,7 +118,27 @@ def _blocks(a: DataFrame, b: DataFrame, block: int) -> tuple:
     return left.groupBy("qb", "vb").cogroup(right.groupBy("ob", "kb"))
 
 
-def links(vectors: DataFrame, threshold: float, block: int = 2048) -> DataFrame:
+def _tiles(a: pd.DataFrame, b: pd.DataFrame, tile: int = TILE):
+    """(rows of ``a``, [(keys, similarities of those rows and keys, six places), ...]): tiles of a pair of blocks, keys ascending."""
+    keys = b["key"].to_numpy()
+    right = [(keys[j : j + tile], _unit(b["kvec"].iloc[j : j + tile])) for j in range(0, len(b), tile)]
+    for i in range(0, len(a), tile):
+        left = _unit(a["qvec"].iloc[i : i + tile])
+        yield a["q"].to_numpy()[i : i + tile], ((k, np.round(left @ m.T, 6)) for k, m in right)
+
+
+def _best(q: np.ndarray, key: np.ndarray, s: np.ndarray, k: int) -> pd.DataFrame:
+    """The ``k`` highest of each row of ``s`` (rows ``q``, columns ``key``, ascending), ties by key."""
+    least = min(k, len(key))
+    row, col = np.nonzero(s >= np.partition(s, len(key) - least, axis=1)[:, len(key) - least, None])
+    order = np.lexsort((col, -s[row, col], row))
+    row, col = row[order], col[order]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < least
+    row, col = row[first], col[first]
+    return pd.DataFrame({"q": q[row], "id": key[col], "similarity": s[row, col]})
+
+
+def links(vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """(id, links, least): for each vector (id, vec) that has any, the number of others whose cosine (six places) is ``threshold`` or more, and
     the least id among them; by products of blocks."""
     kind = vectors.schema["id"].dataType.simpleString()
@@ -119,33 +149,44 @@ def links(vectors: DataFrame, threshold: float, block: int = 2048) -> DataFrame:
             return pd.DataFrame({"id": [], "n": [], "least": []})
         b = b.sort_values("key", kind="stable", ignore_index=True)
         keys = b["key"].to_numpy()
-        near = (np.round(_unit(a["qvec"]) @ _unit(b["kvec"]).T, 6) >= threshold) & (a["q"].to_numpy()[:, None] != keys[None])
-        some = near.any(axis=1)
-        return pd.DataFrame({"id": a["q"].to_numpy()[some], "n": near.sum(axis=1)[some], "least": keys[near.argmax(axis=1)[some]]})
+        out = []
+        for q, tiles in _tiles(a, b):
+            n, least = np.zeros(len(q), np.int64), np.empty(len(q), b["key"].to_numpy().dtype)
+            for keys, s in tiles:
+                near = (s >= threshold) & (q[:, None] != keys[None])
+                new = near.any(axis=1)
+                first = new & (n == 0)  # keys ascend from tile to tile
+                least[first] = keys[near.argmax(axis=1)[first]]
+                n += near.sum(axis=1)
+            out.append(pd.DataFrame({"id": q[n > 0], "n": n[n > 0], "least": least[n > 0]}))
+        return pd.concat(out, ignore_index=True)
 
     found = _blocks(v, v, block).applyInPandas(count, f"id {kind}, n long, least {kind}")
     return found.groupBy("id").agg(F.sum("n").alias("links"), F.min("least").alias("least"))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 2048) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
     """(q, id, similarity, place): the exact ``k`` nearest vectors (id, vec) of each query (q, vec) by cosine, ties by id, NULL last.
 
-    Products of a block of queries and a block of vectors; each leaves ``k`` rows a query, and a window takes the best of those."""
+    Products of a block of queries and a block of vectors, tile by tile; each block leaves ``k`` rows a query, and a window takes the best of those."""
     types = queries.schema["q"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"q": [], "id": [], "similarity": []})  # a block without vectors comes without columns
         b = b.sort_values("key", kind="stable", ignore_index=True)
-        s = np.round(_unit(a["qvec"]) @ _unit(b["kvec"]).T, 6)
-        s[np.isnan(s)] = -np.inf  # NULL comes last
-        least = min(k, len(b))
-        row, col = np.nonzero(s >= np.partition(s, len(b) - least, axis=1)[:, len(b) - least, None])
-        order = np.lexsort((col, -s[row, col], row))
-        row, col = row[order], col[order]
-        first = np.arange(len(row)) - np.searchsorted(row, row) < least
-        row, col = row[first], col[first]
-        return pd.DataFrame({"q": a["q"].to_numpy()[row], "id": b["key"].to_numpy()[col], "similarity": s[row, col]})
+        out = []
+        for q, tiles in _tiles(a, b):
+            found = []
+            for keys, s in tiles:
+                s[np.isnan(s)] = -np.inf  # NULL comes last
+                found.append(_best(q, keys, s, k))
+            every = pd.concat(found, ignore_index=True)  # k of each tile: each query's rows keep their place below
+            row = np.concatenate([np.repeat(np.arange(len(q)), min(k, len(keys))) for keys in (b["key"].to_numpy()[j : j + TILE] for j in range(0, len(b), TILE))])
+            order = np.lexsort((every["id"].to_numpy(), -every["similarity"].to_numpy(), row))
+            row, every = row[order], every.iloc[order]
+            out.append(every[np.arange(len(row)) - np.searchsorted(row, row) < k])
+        return pd.concat(out, ignore_index=True)
 
     found = _blocks(queries.select("q", "vec"), vectors.select("id", "vec"), block).applyInPandas(best, f"q {types[0]}, id {types[1]}, similarity double")
     found = found.withColumn("similarity", F.when(F.col("similarity") >= -2, F.col("similarity")))
